@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textquarry.llm import quality
+from textquarry.llm import bpe, quality
 
-QUERIES = {"op8_quality_rules": quality.op8_quality_rules}
+QUERIES = {"op3_bpe": bpe.op3_bpe, "op8_quality_rules": quality.op8_quality_rules}
 SQL: dict[str, str] = {}
