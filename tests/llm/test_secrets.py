@@ -1,0 +1,61 @@
+import hashlib
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from textquarry.llm import secrets as S
+
+MODEL = S.train(S.samples())
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(text):
+    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+PART = st.sampled_from(["password", "PassWd", "ſecret", "toKen", "token", "apikey", "API_KEY", "=", ": ", " ", '"', "'", "abc", "Z9+/_.=-", "AKIA", "AKIAABCDEF01", "0123456789abcdef", "é", "日", "\n", "xyz1"])
+
+
+@given(st.lists(PART, max_size=14).map("".join))
+@settings(max_examples=800, deadline=None)
+def test_base_equals_plain_patterns(text):
+    assert S.base_spans(text) == brute(text)
+
+
+def test_held_out_accuracy():
+    held = S.samples(seed=1234, n=3000)
+    right = [(MODEL.ratio(t) > S.THRESHOLD) == label for t, label in held]
+    assert sum(right) / len(right) > 0.995
+    for ordinary in ("getUserAccountByIdentifier2", "src/main/java/com/example/Foo2Bar", "550e8400-e29b-41d4-a716-446655440000", "2024-01-01_backup_file_number"):
+        assert MODEL.ratio(ordinary) <= S.THRESHOLD
+
+
+def test_added_spans_and_edges(spark):
+    rng = random.Random(3)
+    key = "".join(rng.choices(S.ALPHABET[:62], k=40))
+    rows = [(0, f"é the value {key}1a here"), (1, None), (2, ""), (3, f"token = {key}"), (4, "word " * 60_000 + key + "7b"), (3, f"token = {key}")]
+    found = S.scan(spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, spans string")).collect()
+    by = {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
+    assert [(s.kind, s.start, s.end, s.base) for s in by[0].spans] == [("random", 12, 54, False)]
+    assert by[1].spans == [] and by[2].spans == []
+    assert [(s.kind, s.base) for s in by[3].spans] == [("assign", True)]
+    assert by[4].spans[0].start == 300_000
+    assert S.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert S.redacted("a token=abcdefgh b", S.base_spans("a token=abcdefgh b")) == "a [SECRET] b"
+
+
+def test_query_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    found = S.op5_secret_scan(spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == len(docs) and sum(r.n_assign for r in found) > 0
+    for r in found:
+        want = brute(docs[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in want) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(S.joined(want).encode()).hexdigest()
+        assert set(S.joined(want).split(",")) <= set(r.spans.split(","))

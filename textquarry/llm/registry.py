@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textquarry.llm import bpe, quality, token_files
+from textquarry.llm import bpe, quality, secrets, token_files
 
-QUERIES = {"op3_bpe": bpe.op3_bpe, "op8_quality_rules": quality.op8_quality_rules, "op9_token_files": token_files.op9_token_files}
+QUERIES = {"op3_bpe": bpe.op3_bpe, "op5_secret_scan": secrets.op5_secret_scan, "op8_quality_rules": quality.op8_quality_rules, "op9_token_files": token_files.op9_token_files}
 SQL: dict[str, str] = {}
