@@ -111,7 +111,7 @@ _SIMILAR = f"""{_NORM}, ranked AS (SELECT cohort, id, row_number() OVER (PARTITI
   sample AS (SELECT cohort, id, least(n, 60) AS n FROM ranked WHERE n <= 60 OR (i % greatest(1, n // 60) = 0 AND i // greatest(1, n // 60) < 60)),
   template AS (SELECT g.cohort, g.g FROM grams g JOIN sample s ON g.cohort = s.cohort AND g.id = s.id GROUP BY g.cohort, g.g HAVING any_value(s.n) >= 3 AND count(*) >= greatest(3, ceil(any_value(s.n) / 3))),
   big AS (SELECT cohort FROM norm GROUP BY cohort HAVING count(*) >= 3),
-  mine AS (SELECT g.cohort, g.id, g.g FROM grams g JOIN norm n ON g.cohort = n.cohort AND g.id = n.id JOIN big USING (cohort)
+  mine AS (SELECT g.cohort, g.id, g.g FROM grams g JOIN norm n ON g.cohort = n.cohort AND g.id = n.id JOIN big ON big.cohort = g.cohort
     WHERE n.status = 'analysed' AND strlen(n.normtext) >= 100 AND NOT EXISTS (SELECT 1 FROM template t WHERE t.cohort = g.cohort AND t.g = g.g)),
   sizes AS (SELECT cohort, id, count(*) AS n FROM mine GROUP BY ALL),
   common AS (SELECT a.cohort, a.id AS a, b.id AS b, count(*) AS c FROM mine a JOIN mine b ON a.cohort = b.cohort AND a.g = b.g AND a.id < b.id GROUP BY ALL),
