@@ -58,7 +58,8 @@ def windows(found: DataFrame, key: str, width: int) -> DataFrame:
         return F.struct(i.alias("pos"), F.xxhash64(canon).alias("hash"), slots.alias("slots"))
 
     listed = F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), window))
-    return found.select(key, F.inline(listed))
+    # The outer form: for the inner one the optimiser would filter by the list's size and so build every list twice.
+    return found.select(key, F.inline_outer(listed)).where("hash IS NOT NULL")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
