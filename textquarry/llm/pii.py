@@ -223,7 +223,8 @@ def fit(counts: dict[Pattern, int], rounds: int = 50) -> Classifier:
 
 def vote_counts(docs: DataFrame) -> dict[Pattern, int]:
     """How often each vote pattern occurs in the corpus; at most 8 rows a kind."""
-    rows = candidates(base(docs)).select(F.explode("extra").alias("e")).select("e.*").groupBy("kind", *LABELERS).count().collect()
+    # The outer form: for the inner one the optimiser would filter by the array's size and so search every text twice.
+    rows = candidates(base(docs)).select(F.explode_outer("extra").alias("e")).select("e.*").where("kind IS NOT NULL").groupBy("kind", *LABELERS).count().collect()
     return {(r["kind"], *(r[n] for n in LABELERS)): r["count"] for r in rows}
 
 
