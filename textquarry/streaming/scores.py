@@ -34,6 +34,11 @@ def _version(spark: SparkSession, root: str, number: int, schema: str) -> DataFr
 
 def merge_batch(spark: SparkSession, batch: DataFrame, number: int, state: str, t: Thresholds = DEFAULT) -> None:
     """Add a batch to the stored submissions and merge what it shows into the stored scores."""
+    # Several steps read the batch; it is kept rather than drawn from the stream's state again. A trailing empty batch changes nothing.
+    batch = batch.persist()
+    if batch.isEmpty():
+        batch.unpersist()
+        return
     held = _version(spark, f"{state}/submissions", number, SCHEMA)
     scores = _version(spark, f"{state}/scores", number, "id long, score double, level string")
     touched = batch.select("cohort").distinct()
@@ -43,6 +48,7 @@ def merge_batch(spark: SparkSession, batch: DataFrame, number: int, state: str,
     start = scores.select("id", "score").union(new.distinct().join(scores.select("id"), "id", "left_anti").select("id", F.lit(0.0)))
     raise_only(start, evidence, t).write.mode("overwrite").parquet(f"{state}/scores/v={number}")
     held.select(*batch.columns).union(batch).write.mode("overwrite").parquet(f"{state}/submissions/v={number}")
+    batch.unpersist()
 
 
 def start(rows: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
