@@ -8,10 +8,11 @@ Jaccard similarity is at least 0.85, and the result is the connected components
 2. In each band bucket every member is compared with the smallest one. The collision-corrected similarity is read from
    the packed bits by counting; a pair six standard deviations below the threshold goes, every other one is confirmed
    on the full sets. The links give components.
-3. Buckets whose members lie in one component are done. Those of others are dealt out in block pairs of bounded size:
-   members of different components are compared by their bits, and what may be a link is confirmed, first the best
-   partner of each member in each other component, then, after components are merged, whatever is left. So every pair
-   that shares a band is in one component at the end or was compared, and no bucket is capped.
+3. Buckets whose members lie in one component are done. Those of others are dealt out in block pairs of bounded size.
+   Members of different components are compared by their bits, a pair only in the first band that it shares. Members
+   with a possible partner then meet again with their full sets, and pairs are confirmed within the block, best first,
+   until they are in one component. So every pair that shares a band is in one component at the end or was compared,
+   no bucket is capped, and only links leave a block, never its pairs.
 
 A pair at the threshold shares no band with probability 6e-11.
 
@@ -41,7 +42,11 @@ LANES = MINIMA * BITS // 64
 #: Fewest equal b-bit values of a pair that may be a link: at similarity s, s + (1 - s) / 2**b are expected.
 _EXPECTED = PERCENT_U / PERCENT_I + (1 - PERCENT_U / PERCENT_I) / (1 << BITS)
 LEAST_EQUAL = int(MINIMA * _EXPECTED - 6 * (MINIMA * _EXPECTED * (1 - _EXPECTED)) ** 0.5)
-BLOCK = 256
+BLOCK = 1024
+#: Ids up to which a list of wanted documents is sent to every executor; beyond, texts are shuffled to meet it.
+SENT_IDS = 500_000
+#: The lowest bit of each b-bit value in a word.
+_ONES = int("1" * (64 // BITS), 1 << BITS)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 _SCALE = _rng.integers(0, 1 << 32, MINIMA, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -132,29 +137,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the wanted documents (doc_id)."""
+    few = wanted.count() <= SENT_IDS
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    return rows.mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+
+
 def equal_bits(left: str, right: str):
     """How many b-bit values of two packed signatures are equal."""
     unequal = F.lit(0)
-    ones = int("1" * (64 // BITS), 1 << BITS)
     for k in range(LANES):
         x = F.col(left)[k].bitwiseXOR(F.col(right)[k])
         for shift in (1, 2):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(ones)))
+        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(_ONES)))
     return F.lit(MINIMA) - unequal
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) are similar enough."""
+    if PERCENT_I * min(len(x), len(y)) < PERCENT_U * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return PERCENT_I * shared >= PERCENT_U * (len(x) + len(y) - shared)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if PERCENT_I * min(len(x), len(y)) < PERCENT_U * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            both = np.sort(np.concatenate([x, y]))
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(PERCENT_I * shared >= PERCENT_U * (len(x) + len(y) - shared))
+        sets = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
+        keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in sets]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -165,57 +178,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
 
 
-def _across(best_only: bool):
-    """Pairs of members of different components whose bits may belong to a link, for each group of rows with one ``g``."""
-
-    def pairs(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, bits: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        ids, comps, sides, bits = ids[order], comps[order], sides[order], bits[order]
-        ones = np.uint64(int("1" * (64 // BITS), 1 << BITS))
-        for k in range(len(ids) - 1):
-            x = bits[k + 1 :] ^ bits[k]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            equal = MINIMA - np.bitwise_count(x & ones).sum(1, dtype=np.int64)
-            wanted = (comps[k + 1 :] != comps[k]) & (equal >= LEAST_EQUAL) & ((sides[k + 1 :] != sides[k]) | (sides[k] < 0))
-            found = np.flatnonzero(wanted)
-            if best_only and len(found):
-                found = found[np.lexsort((-equal[found], comps[k + 1 :][found]))]
-                other = comps[k + 1 :][found]
-                found = found[np.append(True, other[1:] != other[:-1])]
-            for j in found + k + 1:
-                yield int(ids[k]), int(ids[j])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole = pa.Table.from_batches(pieces).combine_chunks()
-            cols = [whole.column(c).to_numpy() for c in ("id", "component", "side")]
-            bits = whole.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LANES)
-            found = list(pairs(*cols, bits))
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
-
-        current = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            groups = batch.column("g").to_numpy()
-            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and groups[a] != current:
-                    yield flush(held)
-                    held = []
-                current = groups[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield flush(held)
-
-    return run
-
-
-def mixed_pairs(keys: DataFrame, reps: DataFrame, comp: DataFrame, best_only: bool) -> DataFrame:
-    """Candidate pairs of different components within a band bucket, by blocks of bounded size."""
+def _block_pairs(block: pa.Table) -> np.ndarray:
+    """Rows (equal values, row, row) of pairs that may be links across components; each pair in its first shared band only."""
+    comps, sides = block.column("component").to_numpy(), block.column("side").to_numpy()
+    band = block.column("band")[0].as_py()
+    matrix = lambda name, width: block.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    bits, bands = matrix("bits", LANES).view(np.uint64), matrix("bands", BANDS)
+    out = [np.zeros((0, 3), np.int32)]
+    for k in range(len(comps) - 1):
+        x = bits[k + 1 :] ^ bits[k]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        equal = MINIMA - np.bitwise_count(x & np.uint64(_ONES)).sum(1, dtype=np.int64)
+        wanted = (equal >= LEAST_EQUAL) & (comps[k + 1 :] != comps[k]) & ((sides[k + 1 :] != sides[k]) | (sides[k] < 0))
+        j = np.flatnonzero(wanted)
+        j = j[(bands[k + 1 + j] == bands[k]).argmax(1) == band] if len(j) else j
+        out.append(np.column_stack([equal[j], np.full(len(j), k), k + 1 + j]).astype(np.int32))
+    return np.concatenate(out)
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each ``g``; rows come sorted by it, and a block is of bounded size."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        groups = batch.column("g").to_numpy()
+        cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and groups[a] != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = groups[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _by_block(batches):
+        rows = np.unique(_block_pairs(block)[:, 1:])
+        if len(rows):
+            yield from block.take(pa.array(rows)).combine_chunks().to_batches()
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _by_block(batches):
+        comps, ids = block.column("component").to_pylist(), block.column("id").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("shingles")]
+        parent = {c: c for c in comps}
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        found = []
+        pairs = _block_pairs(block)
+        for a, b in pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:].tolist() if len(pairs) else ():
+            x, y = top(comps[a]), top(comps[b])
+            if x != y and linked(sets[a], sets[b]):
+                parent[max(x, y)] = min(x, y)
+                found.append((ids[a], ids[b]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+
+_ROW = "g long, side long, band int, id long, component long, bits array<long>, bands array<long>"
+
+
+def mixed_members(keys: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of band buckets with several components that have a possible partner in another one, by block."""
     placed = keys.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n")
     rows = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -223,10 +257,10 @@ def mixed_pairs(keys: DataFrame, reps: DataFrame, comp: DataFrame, best_only: bo
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"),
         # Within one block all pairs count; between two only those across.
         F.when(F.col("own") == F.col("other"), -1).otherwise(F.when(F.col("own") < F.col("other"), 0).otherwise(1)).cast("long").alias("side"),
-        "id", "component",
+        "band", "id", "component",
     )
-    full = dealt.join(reps.select("id", "bits"), "id")
-    return full.repartition("g").sortWithinPartitions("g").select("g", "id", "component", "side", "bits").mapInArrow(_across(best_only), "a long, b long").distinct()
+    full = dealt.join(reps, "id").select("g", "side", "band", "id", "component", "bits", "bands")
+    return full.repartition("g").sortWithinPartitions("g").mapInArrow(_needed, _ROW)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(signed.where("doc_id IS NOT NULL").select("doc_id", *digest).join(classes, digest, "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id")), "members")
     reps = written(linkable.join(classes.select("id", *digest), (linkable.doc_id == F.col("id")) & (linkable.n_shingles == classes.n_shingles) & (linkable.d0 == classes.d0) & (linkable.d1 == classes.d1)).select("id", "bands", "bits").dropDuplicates(["id"]), "representatives")
 
-    every = reps.select("id", F.explode("bands").alias("key"))
+    every = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
     keys = written(every.join(shared.select("key", "centre"), "key"), "band-keys")
     stars = keys.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
@@ -247,23 +281,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Sets are needed of those only that some partner resembles.
     known = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.select("doc_id", "text").join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    sets = written(sets_of(docs, written(known, "wanted")), "sets")
     links = written(confirmed(likely, sets), "star-links")
     comp = written(components(links), "components")
-    tested = likely
-    keys = keys.select("key", "id")
-    for best_only in (True, False):
-        # What was compared before needs no second confirmation; within a component nothing is asked any more.
-        pairs = written(mixed_pairs(keys, reps, comp, best_only).join(tested, ["a", "b"], "left_anti"), "mixed-pairs")
-        if pairs.isEmpty():
-            break
-        lacking = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
-        more = docs.select("doc_id", "text").join(lacking, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary")
-        sets = sets.union(written(more, "sets"))
-        found = written(confirmed(pairs, sets), "mixed-links")
-        links, tested = links.union(found), tested.union(pairs)
-        if not found.isEmpty():
-            comp = written(components(links), "components")
+    met = written(mixed_members(keys.select("key", "band", "id"), reps, comp), "mixed-members")
+    lacking = met.select(F.col("id").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
+    more = sets_of(docs, written(lacking, "wanted"))
+    full = met.join(sets.union(more).withColumnRenamed("doc_id", "id"), "id").select("g", "side", "band", "id", "component", "bits", "bands", "shingles")
+    found = written(full.repartition("g").sortWithinPartitions("g").mapInArrow(_block_links, "a long, b long"), "mixed-links")
+    if not found.isEmpty():
+        comp = written(components(links.union(found)), "components")
     placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     nameless = signed.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return placed.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
