@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import arrays as A
-from textquarry.llm.common import parts, pieces_for, table
+from textquarry.llm.common import parts, pieces_for, release, table
 
 WIDTH = 50
 ANCHOR = 20
@@ -41,7 +41,9 @@ ANCHOR = 20
 LONGEST_RUN = 64
 #: Documents from which an anchor's runs are dealt out by single windows.
 FREQUENT = 1000
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
+#: Bytes of text whose windows are held at a time.
+SLICE_BYTES = 1 << 19
 #: A difference cover modulo 13: every difference occurs between two of its members.
 COVER, MEMBERS = 13, (0, 1, 3, 9)
 #: Suffixes of a bucket that is sorted at a time.
@@ -105,6 +107,7 @@ def _anchors(n: int):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
+            release()
             anchor, piece = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(anchor)
@@ -113,14 +116,14 @@ def _anchors(n: int):
             blobs = [_pack(anchor[at].view(np.uint8).reshape(-1, 8)[:, :6].copy(), piece[at].astype(np.uint32)) for _, at in found]
             return pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", SLICE_BYTES):
             data, offsets = A.texts(batch.column("text"))
             _, _, _, anchor, row = runs(data, offsets)
             order = np.lexsort((row, anchor))
             anchor, row = anchor[order], row[order]
             own = np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
             held.append((anchor[own], batch.column("p").to_numpy()[row[own]]))
-            if sum(len(x) for x, _ in held) > 2_000_000:
+            if sum(len(x) for x, _ in held) > 500_000:
                 yield flush()
         if held:
             yield flush()
@@ -130,6 +133,7 @@ def _anchors(n: int):
 
 def _shared(group: pa.Table) -> pa.Table:
     """Anchors of a part that two or more documents have, for each piece; those of many documents are marked (bit 63)."""
+    release()
     anchors, pieces = [], []
     for blob in group.column("blob"):
         raw, piece = _unpack(blob.as_py())
@@ -173,7 +177,7 @@ class Piece:
         return doc_id in self.copy_ids and f"{doc_id}:{hashlib.md5(text).hexdigest()}" in self.copies
 
     def each(self):
-        for batch in parts(iter(self.docs.combine_chunks().to_batches()), "text"):
+        for batch in parts(iter(self.docs.to_batches()), "text", SLICE_BYTES):
             ids = batch.column("doc_id").to_pylist()
             data, offsets = A.texts(batch.column("text"))
             at = offsets.tolist()
@@ -202,6 +206,7 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def _send(n: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         """The piece's distinct runs with their smallest doc_id, in blobs by block."""
+        release()
         held = []
         for _, data, _, _, first, count, doc, key, route in Piece(docs, told).each():
             order = np.lexsort((doc, key))
@@ -333,6 +338,7 @@ def least_of_windows(text: np.ndarray, begin: np.ndarray, size: np.ndarray, doc:
 
 def _block(group: pa.Table) -> pa.Table:
     """Sort a block's windows; each piece hears of those of its runs that have a window with a smaller doc_id elsewhere."""
+    release()
     sent = [(p, *_unpack(blob.as_py())) for p, blob in zip(group.column("p").to_pylist(), group.column("blob"), strict=True)]
     key = np.concatenate([np.frombuffer(x[1], np.uint64) for x in sent])
     doc = np.concatenate([np.frombuffer(x[2], np.int64) for x in sent])
@@ -367,6 +373,7 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _cut(with_text: bool):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        release()
         piece = Piece(docs, told)
         columns = [[np.frombuffer(b[k], t) for b in piece.smaller] for k, t in enumerate((np.uint64, np.int64, np.uint64, np.int64, np.int64))]
         even_key, even_doc, odd_key, odd_count, odd_doc = (np.concatenate([np.zeros(0, c[0].dtype if c else np.int64), *c]) for c in columns)
