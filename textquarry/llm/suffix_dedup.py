@@ -88,8 +88,8 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[A.Hasher, np.ndarray, n
 
 
 def _part_of(values: np.ndarray, n: int) -> np.ndarray:
-    """Which of n parts a 48-bit value belongs to."""
-    return ((values >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Which of n parts a value belongs to; mixed first, as anchors are minima and so mostly small."""
+    return ((A.mix(values) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
