@@ -3,8 +3,9 @@
 Words lose the punctuation around them and their case; numbers, names and units become typed placeholders. Windows of
 ``WINDOW`` such words of every text are hashed and joined with those of the benchmark. For each alignment of a text
 with an item (text position minus item position) the slots are compared: an item's value must stand for one value of
-the text throughout, so a question asked again with other numbers or names is found and a chance meeting of templates
-is not. A document is contaminated by an item if its consistent alignments cover at least ``COVERAGE`` of the item's words.
+the text, so a question asked again with other numbers or names is found and a chance meeting of templates is not.
+Windows in which it stands for another are left out, save those equal word for word. A document is contaminated by an
+item if the windows left cover at least ``COVERAGE`` of the item's words.
 
 An item with fewer words than a window is a window of its own length; one with fewer than ``LEAST`` words is ignored.
 The benchmark's windows are broadcast if there are at most ``SENT_WINDOWS``; beyond, both sides are shuffled by hash.
@@ -62,6 +63,23 @@ def windows(found: DataFrame, key: str, width: int) -> DataFrame:
     return found.select(key, F.inline_outer(listed)).where("hash IS NOT NULL")
 
 
+def _kept(met: Column) -> Column:
+    """The windows (at, pairs) of an alignment without those in which an item's value stands for other than its usual one.
+
+    The usual value is the one of most windows, then the item's own, then the greatest. A window equal to the item's in
+    its raw words always stays.
+    """
+    every = F.flatten(F.transform(met, lambda w: w["pairs"]))
+    different = F.array_distinct(every)
+    counted = F.transform(different, lambda p: F.struct(F.size(F.filter(every, lambda q: q == p)).alias("n"), (p["asked"] == p["slots"]).alias("same"), p["slots"].alias("slots"), p["asked"].alias("asked")))
+    rank = lambda c: F.struct(c["n"], c["same"], c["slots"])
+    usual = F.filter(counted, lambda c: ~F.exists(counted, lambda o: (o["asked"] == c["asked"]) & (rank(o) > rank(c))))
+    fits = lambda p: F.exists(usual, lambda c: (c["asked"] == p["asked"]) & (c["slots"] == p["slots"]))
+    equal = lambda w: F.forall(w["pairs"], lambda p: p["asked"] == p["slots"])
+    one_each = F.size(different) == F.size(F.array_distinct(F.transform(different, lambda p: p["asked"])))
+    return F.when(one_each, met).otherwise(F.filter(met, lambda w: equal(w) | F.forall(w["pairs"], fits)))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, covered, changed) of every document and item that share consistent windows."""
     items = words(benchmark.where("item_id IS NOT NULL").select("item_id", "text"), "item_id").withColumn("n_words", F.size("canon")).where(F.col("n_words") >= LEAST)
@@ -78,8 +96,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         met = windows(texts, "doc_id", width).join(known, "hash").select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"), "slots", "asked")
         # Pairs of an item's value and the text's value for it.
         pairs = F.filter(F.arrays_zip("asked", "slots"), lambda p: p["asked"].isNotNull())
-        aligned = met.withColumn("pairs", F.coalesce(pairs, F.array().cast("array<struct<asked:string,slots:string>>"))).groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-        sound = aligned.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["asked"])))).withColumn("changed", F.exists("pairs", lambda p: p["asked"] != p["slots"]))
+        met = met.withColumn("pairs", F.coalesce(pairs, F.array().cast("array<struct<asked:string,slots:string>>")))
+        aligned = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("at", "pairs")).alias("met")).withColumn("kept", _kept(F.col("met")))
+        sound = aligned.select("doc_id", "item_id", F.transform("kept", lambda w: w["at"]).alias("at"), F.exists(F.flatten(F.transform("kept", lambda w: w["pairs"])), lambda p: p["asked"] != p["slots"]).alias("changed"))
         places = F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (width - 1)))))))
         judged = sound.groupBy("doc_id", "item_id").agg(F.size(places).alias("covered"), F.bool_or("changed").alias("changed"))
         judged = judged.join(lengths.groupBy("item_id").agg(F.max("n_words").alias("n_words")), "item_id").select("doc_id", "item_id", "n_words", "covered", "changed")
