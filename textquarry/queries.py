@@ -217,6 +217,17 @@ def numbered_sections(spark, sf_dir):
     return rows.select("id", "section_num", "label", "num", F.md5("text").alias("body_md5"))
 
 
+@query(
+    "document_sections",
+    f"""{_LINES} SELECT id, CASE WHEN label = 'Full Document' THEN 'whole' WHEN regexp_matches(body, '^[ \\t]*[0-9]') THEN 'numbered' ELSE 'labelled' END AS marker, section_num, label, num, md5(body) AS body_md5 FROM secs""",
+)
+def document_sections(spark, sf_dir):
+    """The sections of every submission with the kind of marker that was chosen for it."""
+    rows = S.section_rows(submissions(spark, sf_dir), "id")
+    marker = F.when(F.col("label") == "Full Document", "whole").when(F.col("text").rlike("^[ \\t]*[0-9]"), "numbered").otherwise("labelled")
+    return rows.select("id", marker.alias("marker"), "section_num", "label", "num", F.md5("text").alias("body_md5"))
+
+
 @query("section_fallback", f"{_LINES} SELECT label = 'Full Document' AS whole, count(*) AS n_sections, count(DISTINCT id) AS n_documents FROM secs GROUP BY 1")
 def section_fallback(spark, sf_dir):
     rows = S.section_rows(submissions(spark, sf_dir), "id")
@@ -271,6 +282,13 @@ def markdown_findings(spark, sf_dir):
     return rows.select("id", F.col("f.label").alias("label"), F.col("f.count").cast("long").alias("n"))
 
 
+@query("markdown_kinds")
+def markdown_kinds(spark, sf_dir):
+    """Findings of all kinds of Markdown, italics too."""
+    rows = submissions(spark, sf_dir).select("id", F.explode(FI.markdown(F.col("text"))).alias("f"))
+    return rows.select("id", F.col("f.label").alias("label"), F.col("f.count").cast("long").alias("n"))
+
+
 _KNOWN = ", ".join(f"('{title}', [{', '.join(map(str, years))}])" for title, years, _ in FI.REGISTRY)
 _LAW = f"""law AS (SELECT id, unnest(regexp_extract_all(text, '{FI.CITATION.replace("'", "''")}')) AS m FROM subs),
   cite AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(m, '\\s+(Act|Regulations?|Law)\\s+(\\(\\s*[A-Za-z]{{2,3}}\\s*\\)\\s*)?[0-9]{{4}}$', ''), '\\s+', ' ', 'g'), '(?i)^((of|the|under|in|to|by|per|with|a|an|and|see|from)\\s+)+', '')) AS short,
