@@ -2,9 +2,10 @@
 
 Two bigram models over the characters of a candidate are trained from labelled samples: strings labelled *random*
 (keys as generators make them) and strings labelled *ordinary* (identifiers, paths and words joined as people join
-them). A candidate is a run of at least ``MIN_RUN`` characters of ``[A-Za-z0-9+/_=-]`` that holds a digit and a
-letter. It is a secret of kind ``random`` if the log-likelihood ratio per character exceeds ``THRESHOLD`` and it does
-not overlap a span of the fixed patterns.
+them). Runs of characters of ``[A-Za-z0-9+/_=-]`` are parted where a span of the fixed patterns lies. A run of at least
+``MIN_RUN`` characters that holds a digit and a letter is a secret of kind ``random`` if the log-likelihood ratio per
+character exceeds ``THRESHOLD``. Else its stretches between any two of ``/ = _ -`` (or its ends) are judged in the same
+way, those with the greatest sum of ratios above the threshold first, so a key behind a path or a name is found.
 
 Both the training samples and the model are small and fixed: ``samples`` makes them by rule from a seed. They can be
 replaced by any labelled strings through ``train``.
@@ -34,9 +35,12 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}", re.ASCII)
 HEX = re.compile(r"[0-9a-f]{32,}", re.ASCII)
-MIN_RUN = 20
+MIN_RUN = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}", re.ASCII)
 THRESHOLD = 0.9
+#: An identifier by convention, not judged in parts.
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", re.ASCII)
+SEPARATORS = re.compile(r"[/=_-]+", re.ASCII)
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -106,14 +110,54 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _holds_both(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
+def _stretch(run: str, model: Model) -> tuple[int, int] | None:
+    """The stretch between separators with the greatest sum of ratios above the threshold, of those that count."""
+    between = [m.span() for m in SEPARATORS.finditer(run)]
+    starts = np.array([0, *[b for _, b in between if b < len(run)]])
+    ends = np.array([*[a for a, _ in between if a], len(run)])
+    code = _CODE[np.frombuffer(run.encode("ascii"), np.uint8)]
+    upto = np.concatenate([[0, 0], np.cumsum(model.pair[code[:-1], code[1:]])]) - THRESHOLD * np.arange(len(run) + 1)
+    gain = model.first[code[starts]] - upto[starts + 1] - THRESHOLD
+    # A stretch starts at or before the last letter and the last digit in front of its end, and MIN_RUN before it.
+    at = np.arange(len(run))
+    last = [np.maximum.accumulate(np.where(kind, at, -1)) for kind in (code < 52, (code >= 52) & (code < 62))]
+    latest = np.minimum(np.minimum(last[0], last[1])[ends - 1], ends - MIN_RUN)
+    n = np.searchsorted(starts, latest, side="right")
+    ends, n = ends[n > 0], n[n > 0]
+    if not len(ends):
+        return None
+    most = np.maximum.accumulate(gain)
+    sums = upto[ends] + most[n - 1]
+    k = int(np.argmax(sums))
+    # Of equal sums the latest start, so that the stretch is the shortest.
+    return (int(starts[np.flatnonzero(gain[: n[k]] == most[n[k] - 1])[-1]]), int(ends[k])) if sums[k] > 0 else None
+
+
 def random_spans(text: str, base: list[Span], model: Model) -> list[Span]:
     out: list[Span] = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        if not _holds_both(m[0]):
             continue
-        if model.ratio(run) > THRESHOLD and not any(a < m.end() and m.start() < b for _, a, b in base):
-            out.append(("random", m.start(), m.end()))
+        todo, at = [], m.start()
+        for _, a, b in base:
+            if a < m.end() and m.start() < b:
+                todo.append((at, a))
+                at = max(at, b)
+        todo.append((at, m.end()))
+        while todo:
+            a, b = todo.pop()
+            run = text[a:b]
+            if b - a < MIN_RUN or not _holds_both(run):
+                continue
+            if model.ratio(run) > THRESHOLD:
+                out.append(("random", a, b))
+            elif not UUID.fullmatch(run) and (found := _stretch(run, model)):
+                out.append(("random", a + found[0], a + found[1]))
+                todo += [(a, a + found[0]), (a + found[1], b)]
     return out
 
 
