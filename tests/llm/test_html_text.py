@@ -45,3 +45,19 @@ def test_small_table_against_plain_rule(spark):
         want = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", body.replace("<b>", "").replace("</b>", ""))]
         assert found[p.page_id].text == "\n\n".join(x for x in want if x), p.page_id
         assert found[p.page_id].n_chars == len(found[p.page_id].text) and found[p.page_id].url == p.url
+
+
+INTRO, BODY = "An introduction of some length. " * 10, "The body of the article goes on. " * 30
+
+
+def test_text_outside_the_widest_child_is_kept(spark):
+    whole = f'<html><body><nav><a href="/">Home</a></nav><div class="content"><div class="intro"><p>{INTRO}</p></div><div class="body"><p>{BODY}</p></div></div><div><a href="/x">more</a></div></body></html>'
+    assert H.text_of(whole, None) == f"{INTRO.strip()}\n\n{BODY.strip()}"
+    assert H.vote(whole)[0] == ">html>body>div.content"
+    # The winning path of the host is a teaser box on pages of another template.
+    usual = f'<html><body><div class="box"><p>{BODY}</p></div></body></html>'
+    other = f'<html><body><div class="box"><p>{INTRO}</p></div><div class="story"><p>{BODY}</p></div></body></html>'
+    rows = [(k, f"http://h.example/{k}", usual if k < 4 else other) for k in range(5)]
+    found = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[4].path == ">html>body>div.box" and found[4].text == f"{INTRO.strip()}\n\n{BODY.strip()}"
+    assert {found[k].text for k in range(4)} == {BODY.strip()}

@@ -3,8 +3,8 @@
 1. Each page's containers are scored by the text of their blocks, less link text and what boilerplate elements hold.
    The page votes for the path of its best container: the tags from the root down with their classes, digits removed.
 2. Spark counts the votes of each host; the path with most votes (then the longest text, then the smallest path) wins.
-3. Each page is read again with its host's path. Where the path is absent, or holds less than a fifth of the page's
-   text, the page's own best container is used.
+3. Each page is read again with its host's path. Where the path is absent, or holds less text than the page's own best
+   container, that container is used.
 
 The text of a container is its blocks in page order, without menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments; character references are decoded, white space in a block becomes one
@@ -158,7 +158,7 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
 
 
 def best(found: list[tuple[Node, str, int]], nodes: list[Node]) -> Node:
-    """The container to take: an article or main part with much of the text, else as deep as most of the text goes."""
+    """The container to take: an article or main part with much of the text, else the deepest that leaves only links outside."""
     for node, text, in_links in found:
         own = max(0, len(text) - 2 * in_links)
         while node is not None:
@@ -176,8 +176,8 @@ def best(found: list[tuple[Node, str, int]], nodes: list[Node]) -> Node:
         while up.tag and up.tag not in CONTAINER:
             up = up.parent
         children.setdefault(id(up), []).append(n)
-    while below := [n for n in children.get(id(at), []) if n.total >= 0.7 * at.total and n.total]:
-        at = max(below, key=lambda n: n.total)
+    while below := [n for n in children.get(id(at), []) if n.total == at.total and n.total]:
+        at = below[0]
     return at
 
 
@@ -196,7 +196,7 @@ def text_of(page: str | None, path: str | None) -> str:
     found, nodes = blocks(page or "")
     own = best(found, nodes)
     chosen = [n for n in nodes if n.path == path] if path is not None else []
-    if not chosen or 5 * sum(n.total for n in chosen) < nodes[0].total:
+    if not chosen or sum(n.total for n in chosen) < own.total:
         chosen = [own]
     inside = {id(n) for n in chosen}
 
