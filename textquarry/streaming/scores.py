@@ -1,13 +1,13 @@
 """Incremental scoring on Structured Streaming.
 
-Submissions arrive as files; duplicates of (user, cohort, content) within a day are dropped under a watermark. Each
-micro-batch is compared with the cohort's stored submissions, and scores merge by the raise-only rule. State lies in two
+Submissions arrive as files, in any order of their times; a repeat of (user, cohort, content) less than a day from a
+stored one is dropped, and nothing else. Each micro-batch is compared with the cohort's stored submissions, and scores merge by the raise-only rule. State lies in two
 folders of Parquet versions, written under the batch's number, so a repeated batch writes the same version again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,12 +15,38 @@ from textquarry.config import DEFAULT, Thresholds
 from textquarry.operators.similarity import both_ways, pairs, raise_only
 
 SCHEMA = "cohort string, id long, userid long, contenthash string, normtext string, status string, ts timestamp"
+KEY = ("userid", "cohort", "contenthash")
+#: In microseconds.
+DAY = 86_400_000_000
 
 
 def source(spark: SparkSession, folder: str, per_batch: int = 20) -> DataFrame:
-    """New submissions in ``folder`` as a stream, each (user, cohort, content) once a day."""
-    rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_batch).parquet(folder)
-    return rows.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["userid", "cohort", "contenthash"])
+    """New submissions in ``folder`` as a stream."""
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_batch).parquet(folder)
+
+
+def without_repeats(batch: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of a batch, by time and id, that lie a day or more from each stored or earlier row of the same key.
+
+    Rows without a time repeat nothing.
+    """
+    micros = lambda ts: F.unix_micros(ts)
+    stored = held.where("ts IS NOT NULL").select(*[F.col(k).alias(f"held_{k}") for k in KEY], micros(F.col("ts")).alias("at"))
+    stored = stored.groupBy(*[f"held_{k}" for k in KEY]).agg(F.collect_list("at").alias("stored"))
+    # The columns that order rows stand first.
+    order = ["ts", "id", *[c for c in batch.columns if c not in ("ts", "id")]]
+    grouped = batch.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("rows"))
+    same = [grouped[k].eqNullSafe(stored[f"held_{k}"]) for k in KEY]
+    both = grouped.join(stored, same[0] & same[1] & same[2], "left").select("rows", F.coalesce("stored", F.array().cast("array<bigint>")).alias("stored"))
+
+    def add(acc: Column, row: Column) -> Column:
+        at = micros(row["ts"])
+        near = F.coalesce(F.exists(acc["at"], lambda a: F.abs(a - at) < DAY), F.lit(False))
+        longer = F.when(at.isNull(), acc["at"]).otherwise(F.concat(acc["at"], F.array(at)))
+        return F.when(near, acc).otherwise(F.struct(longer.alias("at"), F.concat(acc["out"], F.array(row)).alias("out")))
+
+    kept = F.aggregate("rows", F.struct(F.col("stored").alias("at"), F.slice("rows", 1, 0).alias("out")), add, lambda acc: acc["out"])
+    return both.select(F.explode(kept).alias("r")).select(*[F.col("r")[c].alias(c) for c in batch.columns])
 
 
 def _version(spark: SparkSession, root: str, number: int, schema: str) -> DataFrame:
@@ -34,12 +60,12 @@ def _version(spark: SparkSession, root: str, number: int, schema: str) -> DataFr
 
 def merge_batch(spark: SparkSession, batch: DataFrame, number: int, state: str, t: Thresholds = DEFAULT) -> None:
     """Add a batch to the stored submissions and merge what it shows into the stored scores."""
-    # Several steps read the batch; it is kept rather than drawn from the stream's state again. A trailing empty batch changes nothing.
-    batch = batch.persist()
+    held = _version(spark, f"{state}/submissions", number, SCHEMA)
+    # Several steps read the batch; it is kept rather than compared with the stored rows again. An empty batch changes nothing.
+    batch = without_repeats(batch, held).persist()
     if batch.isEmpty():
         batch.unpersist()
         return
-    held = _version(spark, f"{state}/submissions", number, SCHEMA)
     scores = _version(spark, f"{state}/scores", number, "id long, score double, level string")
     touched = batch.select("cohort").distinct()
     cohort = held.join(touched, "cohort", "left_semi").select(*batch.columns).union(batch)
