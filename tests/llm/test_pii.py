@@ -85,3 +85,17 @@ def test_query_against_brute_force(spark):
         assert [r[f"n_{k}"] for k in P.BASE] == [len(want[k]) for k in P.BASE]
         assert r.base_sha256 == hashlib.sha256(",".join(plain).encode()).hexdigest()
         assert r.spans.split(",")[: len(plain)] == plain or not plain
+
+
+def test_names_after_capitalised_words(spark):
+    rows = [
+        (0, "Contact Anna Smith about it"), (1, "The Patient John Brown was seen by customer service"), (2, "unser Kollege Hans Schmidt"), (3, "signed Kevin Brian Miller"),
+        (4, "é Author Anna Smith Wrote To Customer John Brown-"), (5, "Great Western Railway Company Limited"), (6, "Dear Klaus Wagner"), (7, "signed: Contact Peter Jones, Signed Maria Klein"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.extra] for r in P.candidates(P.base(docs)).collect()}
+    assert pairs[0] == ["Contact Anna", "Anna Smith"] and pairs[6] == ["Klaus Wagner"]
+    assert pairs[4] == ["Author Anna", "Anna Smith", "Smith Wrote", "Wrote To", "Customer John"]
+    found = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.added] for r in P.find(docs, P.fit({})).collect()}
+    assert "Anna Smith" in found[0] and "John Brown" in found[1] and "Hans Schmidt" in pairs[2] and "Anna Smith" in found[4] and found[5] == []
+    assert len(found[3]) == 1 and "Peter Jones" in found[7] and "Maria Klein" in found[7]

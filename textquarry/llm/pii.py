@@ -11,7 +11,8 @@ Patterns are written so that Java's matcher neither recurses nor restarts inside
 possessive, and a run is entered at its start (or where the last match ended).
 
 Spans are kind:start:end in code points, the end exclusive, by kind and then start. Added spans that overlap a base
-span, or an added span of an earlier kind, are left out. Cases: a null or empty text has no spans; repeated rows are
+span, or an added span of an earlier kind, are left out; of names that overlap the one that the classifier scores higher
+stays, else the first. Cases: a null or empty text has no spans; repeated rows are
 treated alike; an empty table gives an empty result; without candidates the labelers' prior reliabilities hold.
 """
 
@@ -35,12 +36,13 @@ BASE = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Kinds of candidates.
+#: Kinds of candidates. Each two neighbours of a run of capitalised words are a candidate: the match takes the first
+#: word, its group is the whole name.
 EXTRA = {
     "tel": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": r"(?<![\p{L}\p{N}'-])(?!(?:Dear|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora|Hello|Hi|The|From|To|By)\x20)\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}++(?![\p{L}\p{N}'-])",
+    "name": r"(?<![\p{L}\p{N}'-])(?!(?:Dear|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora|Hello|Hi|The|From|To|By)\x20)(?=(\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}++)(?![\p{L}\p{N}'-]))\p{Lu}\p{Ll}++",
 }
 #: First names, country codes of account numbers, and words of context.
 FIRST_NAMES = (
@@ -60,15 +62,20 @@ _SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
 Pattern = tuple[str, int, int, int]
 
 
-def positions(text: Column, pattern: str) -> Column:
-    """Start, end and text of all matches. The pieces between matches give the places of matches."""
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+def positions(text: Column, pattern: str, group: int = 0) -> Column:
+    """Start, end and text of all matches, or of their ``group``, which starts where the match does.
+
+    The pieces between matches give the places of matches.
+    """
+    every = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), every(0).alias("match"), every(group).alias("span"))
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"]).cast("long")
-        end = start + F.length(x["match"]).cast("long")
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("text")))).alias("out")))
+        at = start + F.length(x["match"]).cast("long")
+        end = start + F.length(x["span"]).cast("long")
+        return F.when(x["match"].isNull(), acc).otherwise(F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["span"].alias("text")))).alias("out")))
 
     return F.aggregate(both, empty, add, lambda acc: acc["out"])
 
@@ -115,7 +122,7 @@ def base(docs: DataFrame) -> DataFrame:
 
 def candidates(found: DataFrame) -> DataFrame:
     """Adds ``extra``: candidate spans with their kind and the votes of the three labelers."""
-    named = {f"{kind}_": F.when(F.col("text").rlike(pattern), positions(F.col("text"), pattern)).otherwise(F.array().cast(_SPAN)) for kind, pattern in EXTRA.items()}
+    named = {f"{kind}_": F.when(F.col("text").rlike(pattern), positions(F.col("text"), pattern, int(kind == "name"))).otherwise(F.array().cast(_SPAN)) for kind, pattern in EXTRA.items()}
     out = found.withColumns(named)
     votes, earlier = [], F.flatten(F.array(*BASE))
     for kind in EXTRA:
@@ -230,8 +237,18 @@ def vote_counts(docs: DataFrame) -> dict[Pattern, int]:
 
 def find(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, an array of spans for each base kind, and ``added``: the candidates that the classifier takes."""
-    taken = F.filter("extra", lambda s: model.score(s["kind"], {n: s[n] for n in LABELERS}) > 0)
-    return candidates(base(docs)).select("doc_id", "text", *BASE, taken.alias("added"))
+    score = lambda s: model.score(s["kind"], {n: s[n] for n in LABELERS})
+    taken = candidates(base(docs)).select("doc_id", "text", *BASE, F.filter("extra", lambda s: score(s) > 0).alias("taken"))
+    names = _of_kind("name", F.col("taken"))
+
+    def add(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        free = (F.size(acc) == 0) | (last["end"] <= s["start"])
+        better = score(s) > score(last)
+        return F.when(free, F.concat(acc, F.array(s))).when(better, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(s))).otherwise(acc)
+
+    chosen = F.when(F.size(names) > 1, F.concat(F.filter("taken", lambda s: s["kind"] != "name"), F.aggregate(names, F.slice(names, 1, 0), add))).otherwise(F.col("taken"))
+    return taken.select("doc_id", "text", *BASE, chosen.alias("added"))
 
 
 def _written(kind: str, spans: Column) -> Column:
