@@ -1,11 +1,13 @@
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textquarry.llm import arrays as A
 from textquarry.llm import bpe
+from tests.llm.test_near_dup import thue_morse
 
 WORD, BYTE = bpe.public_path("word_bpe_49k.json"), bpe.public_path("byte_bpe_50k.json")
 ODD = ["", " ", "a", "The cat's hat.\nIt's  'sunny' ", "x  \ny", "é ́ café", "<|endoftext|> a<|endoftext|>", "tail  \n", "\n\n  a\tb \r\n c", "!!'s!'s", " a 　b", "ΑΣ ΣΑΣ", "İI", "日本語 テキスト"]
@@ -39,7 +41,8 @@ def test_pieces_equal_library(texts):
         assert decoded == tok.decode(want, skip_special_tokens=False).encode()
     met = bpe.pieces(BYTE, bpe.Pieces, bpe.byte_cuts)
     data, offsets = A.texts(pa.array(texts))
-    slots, at = met.look_up(data, offsets)
+    slots, at, other = met.look_up(data, offsets)
+    assert not other.any()
     for k, odd in enumerate(bpe.odd_rows(data, offsets)):
         if not odd:
             assert [i for s in slots[at[k] : at[k + 1]] for i in met.flat[met.start[s] : met.start[s] + met.count[s]].tolist()] == by_library(BYTE, texts[k])
@@ -61,3 +64,20 @@ def test_whole_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for r in bpe.encoded(docs, WORD).join(docs, "doc_id").select("text", "ids", "decoded").collect():
         assert r.ids == by_library(WORD, r.text)
+
+
+def test_words_with_one_hash_keep_their_own_ids(spark, monkeypatch):
+    one, two = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    for x in (one, two):
+        ((ids, _),) = bpe._rows(pa.array([x]), WORD)
+        assert ids == " ".join(map(str, by_library(WORD, x))).encode()
+    # Bytes decide, whatever the hash: here all words of one length have the same one.
+    monkeypatch.setattr(A, "segment_hashes", lambda data, starts, ends, seed=0: (ends - starts).astype(np.uint64))
+    texts = ["aa bb", "bb", "cc aa", "aa", "ddd"]
+    for cls, cuts, path in ((bpe.WordPieces, bpe.word_cuts, WORD), (bpe.Pieces, bpe.byte_cuts, BYTE)):
+        met = cls(path, cuts)
+        slots, at, other = met.look_up(*A.texts(pa.array(texts)))
+        assert other.tolist()[:4] == [True, True, True, False] or other.any()
+        for k, odd in enumerate(other.tolist()):
+            if not odd:
+                assert [i for s in slots[at[k] : at[k + 1]] for i in met.flat[met.start[s] : met.start[s] + met.count[s]].tolist()] == by_library(path, texts[k])

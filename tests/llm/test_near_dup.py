@@ -93,3 +93,33 @@ def test_components(spark):
         parent[hi] = lo
     assert found == {x: top(x) for a, b in links if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def thue_morse(n, a, b):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return "".join((a, b)[x] for x in out[:n])
+
+
+def test_words_that_collide_under_a_polynomial_are_not_linked(spark):
+    one, two = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    rows = [(1, one), (2, two), (3, one), (4, f"{one} x y z w"), (5, f"{two} x y z w")]
+    found = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    rng = random.Random(12)
+    rows, copies = [], {}
+    for k in range(20):
+        for half in (0, 1):
+            words = ["".join(rng.choices("abcdefg", k=5)) for _ in range(120)]
+            rows.append((k, " ".join(words)))
+            words[60] = "other"
+            copies[100 + 2 * k + half] = k
+            rows.append((100 + 2 * k + half, " ".join(words)))
+    rng.shuffle(rows)
+    found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: r.component_id for r in found} == copies | {k: k for k in range(20)}

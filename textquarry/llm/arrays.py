@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
 RADIX = 0x9E3779B97F4A7C15
@@ -54,8 +55,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes from which a segment is hashed by itself.
+LONG_SEGMENT = 256
+#: One seed for each of two independent families of hashes.
+SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """64-bit hashes of segments of one byte array, eight bytes at a time, each block mixed before the next.
+
+    Unlike a polynomial modulo 2**64 this has no family of colliding strings that is known for every multiplier.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    out = mix(length.astype(np.uint64) * np.uint64(RADIX) + np.uint64(seed))
+    long = length >= LONG_SEGMENT
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]], seed)
+    left = np.flatnonzero(~long & (length > 0))
+    at, rest, acc = starts[left], length[left], out[left]
+    while len(left):
+        block = word[at]
+        short = rest < 8
+        block[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        acc = mix((acc ^ block) * np.uint64(RADIX) + np.uint64(seed))
+        out[left] = acc
+        more = rest > 8
+        left, at, rest, acc = left[more], at[more] + 8, rest[more] - 8, acc[more]
+    return out
+
+
+def shingle_hashes(words_: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each window of ``width`` word hashes (windows over row ends included); each word is mixed before the next."""
+    n = len(words_) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = words_[:n]
+    for k in range(1, width):
+        out = mix(out * np.uint64(RADIX) + words_[k : k + n])
+    return out
+
+
 class Hasher:
-    """64-bit hashes of any segments of one byte array, from prefix sums of a polynomial."""
+    """64-bit hashes of any short segments of one byte array, from prefix sums of a polynomial.
+
+    Strings of 1,024 bytes and more are known to collide modulo 2**64 for every multiplier: only for shorter segments.
+    """
 
     def __init__(self, data: np.ndarray):
         up, self._down = _powers(len(data) + 1)

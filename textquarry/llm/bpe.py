@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from textquarry.llm import arrays as A
-from textquarry.llm.common import parts, table
+from textquarry.llm.common import parts, table, tidy
 
 #: Characters in a leaf of the tree, and tokens that must agree on either side of a window.
 LEAF = 1024
 AGREE = 2
-#: Distinct pieces a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Distinct pieces, and bytes of what is kept of them, that a worker remembers; beyond that it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 48 << 20
 
 
 def public_path(name: str) -> str:
@@ -171,13 +171,15 @@ class Pieces:
     def _forget(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        #: The bytes of each piece.
+        self.at, self.size, self.raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
-    def look_up(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The slot of every piece, and the offsets of rows within the pieces."""
+    def look_up(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slot of every piece, the offsets of rows within the pieces, and rows with a piece whose bytes are not its slot's."""
         starts, ends, piece_offsets = self.cuts(data, offsets)
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > REMEMBERED or len(self.raw) + 4 * len(self.flat) > REMEMBERED_BYTES:
             self._forget()
-        keys, first, inverse = np.unique(A.Hasher(data)(starts, ends), return_index=True, return_inverse=True)
+        keys, first, inverse = np.unique(A.segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
@@ -186,17 +188,33 @@ class Pieces:
         slots[known] = self.slots[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = data.tobytes()
-            strings = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            found = self._encode(strings)
+            sizes = ends[first[new]] - starts[first[new]]
+            bytes_ = data[A.ragged(starts[first[new]], sizes)]
+            cuts = np.cumsum(sizes).tolist()
+            whole = bytes_.tobytes()
+            found = self._encode([whole[a:b].decode() for a, b in zip([0, *cuts], cuts)])
             slots[new] = len(self.count) + np.arange(len(new))
             counts = np.fromiter(map(len, found), np.int64, len(found))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))])
+            self.at = np.concatenate([self.at, len(self.raw) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.raw = np.concatenate([self.raw, bytes_])
             self.keys, self.slots = np.insert(self.keys, at[new], keys[new]), np.insert(self.slots, at[new], slots[new])
             self.learned(found)
-        return slots[inverse], piece_offsets
+        slots = slots[inverse]
+        return slots, piece_offsets, self._other(data, starts, ends, slots, piece_offsets)
+
+    def _other(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray, piece_offsets: np.ndarray) -> np.ndarray:
+        """Rows with a piece that has the hash of another one: its bytes differ from those of its slot."""
+        sizes = ends - starts
+        unequal = sizes != self.size[slots]
+        short = np.where(unequal, 0, sizes)
+        differs = np.flatnonzero(data[A.ragged(starts, short)] != self.raw[A.ragged(self.at[slots], short)])
+        if len(differs):
+            unequal[np.searchsorted(np.cumsum(short), differs, side="right")] = True
+        return A.per_row(unequal, piece_offsets) > 0
 
     def learned(self, found: list[list[int]]) -> None:
         """For what is kept beside the ids."""
@@ -233,6 +251,7 @@ def pieces(path: str, kind: type = WordPieces, cuts=word_cuts) -> Pieces:
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int) and decoded (text) of every document, for the word tokenizer at ``path``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
             ids, decoded = [], []
@@ -248,8 +267,8 @@ def _rows(column: pa.Array, path: str) -> Iterator[tuple[bytes, bytes]]:
     """Of each row the decimal ids joined by spaces, and the decoded text, in UTF-8."""
     data, offsets = A.texts(column)
     met = pieces(path)
-    odd = odd_rows(data, offsets)
-    slots, piece_offsets = met.look_up(data, offsets)
+    slots, piece_offsets, other = met.look_up(data, offsets)
+    odd = odd_rows(data, offsets) | other
     slots, piece_offsets = slots.tolist(), piece_offsets.tolist()
     decimals, decoded = met.decimals, met.decoded
     for k, whole in enumerate(odd.tolist()):
@@ -265,6 +284,7 @@ def _rows(column: pa.Array, path: str) -> Iterator[tuple[bytes, bytes]]:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of decoded text, without moving either."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
             n, ids, decoded = [], [], []

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import written
+from textquarry.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,17 +17,24 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in ``links`` (a, b); the component is its smallest node. Self-links are allowed."""
+    """(node, component) of every node in ``links`` (a, b); the component is its smallest node. Self-links are allowed.
+
+    The least neighbour of each node is written before it is joined, so that the join sees two plain tables and a centre
+    with very many neighbours can be dealt out to several tasks.
+    """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large-star")
+        discard(edges, least)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # (u, m) for every u, and (v, m) for its other neighbours: few nodes have several smaller neighbours by now.
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+        discard(large)
         before, state = state, _state(edges)
         if state == before:
             break

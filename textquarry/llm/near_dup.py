@@ -16,8 +16,12 @@ Jaccard similarity is at least 0.85, and the result is the connected components
 
 A pair at the threshold shares no band with probability 6e-11.
 
+A shingle is a pair of 64-bit hashes of two independent families, in digests and where links are confirmed.
+
 Cases: a text that is null, empty or without words has an empty set and is linked with nothing; a row without doc_id
-has no component (null) and is kept; repeated rows have the same class.
+has no component (null) and is kept; repeated rows have the same class; rows with one doc_id and different texts are one
+document, which is linked with whatever one of them is linked with. A text of any length is one row of work; blocks of
+full sets are bounded by rows and, on average, by bytes. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import arrays as A
-from textquarry.llm.common import parts, table, written
+from textquarry.llm.common import discard, parts, table, tidy, written
 from textquarry.llm.components import components
 
 SHINGLE = 5
@@ -42,7 +46,10 @@ LANES = MINIMA * BITS // 64
 #: Fewest equal b-bit values of a pair that may be a link: at similarity s, s + (1 - s) / 2**b are expected.
 _EXPECTED = PERCENT_U / PERCENT_I + (1 - PERCENT_U / PERCENT_I) / (1 << BITS)
 LEAST_EQUAL = int(MINIMA * _EXPECTED - 6 * (MINIMA * _EXPECTED * (1 - _EXPECTED)) ** 0.5)
-BLOCK = 1024
+#: Rows, and bytes of full sets on average, of a block.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Bytes of text whose shingles are held at a time.
+SLICE_BYTES = 1 << 20
 #: Ids up to which a list of wanted documents is sent to every executor; beyond, texts are shuffled to meet it.
 SENT_IDS = 500_000
 #: The lowest bit of each b-bit value in a word.
@@ -53,32 +60,30 @@ _SCALE = _rng.integers(0, 1 << 32, MINIMA, np.uint64).astype(np.uint32) | np.uin
 _SHIFT = _rng.integers(0, 1 << 32, MINIMA, np.uint64).astype(np.uint32)
 
 
-def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after the other, and the offsets of texts."""
+def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, sorted, one text after the other, with the offsets of texts.
+
+    A shingle is a pair of 64-bit hashes of two independent families: the first two arrays.
+    """
     data, offsets = A.texts(column)
     data = A.LOWER[data]
     starts, ends, word_offsets = A.words(data, offsets)
-    hashes = A.Hasher(data)(starts, ends)
-    n_words = np.diff(word_offsets)
-    n = len(hashes)
-    rolled = np.zeros(max(n - width + 1, 0), np.uint64)
-    for k in range(width):
-        rolled = rolled * _GOLD + hashes[k : n - width + 1 + k] if n >= width else rolled
-    rolled = A.mix(rolled)
-    out = []
-    for first, count in zip(word_offsets.tolist(), n_words.tolist()):
+    hashes = [A.segment_hashes(data, starts, ends, seed) for seed in A.SEEDS]
+    rolled = [A.shingle_hashes(h, width) for h in hashes]
+    counts = np.diff(word_offsets)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for first, count in zip(word_offsets.tolist(), counts.tolist()):
         if count >= width:
-            own = np.sort(rolled[first : first + count - width + 1])
-            out.append(own[np.append(True, own[1:] != own[:-1])])
-        elif count:
-            whole = np.uint64(count)
-            with np.errstate(over="ignore"):
-                for h in hashes[first : first + count]:
-                    whole = whole * _GOLD + h
-            out.append(A.mix(np.array([whole])))
+            x, y = (r[first : first + count - width + 1] for r in rolled)
+            order = np.argsort(x)
+            x, y = x[order], y[order]
+            new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+            out.append((x[new], y[new]))
         else:
-            out.append(np.zeros(0, np.uint64))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+            # The whole sequence is one shingle; its width tells it from others.
+            out.append(tuple(A.shingle_hashes(h[first : first + count], count) + np.uint64(count) for h in hashes) if count else (rolled[0][:0],) * 2)
+    one, two = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.uint64) for k in (0, 1))
+    return one, two, np.concatenate([[0], np.cumsum([len(x) for x, _ in out])]).astype(np.int64)
 
 
 def minima_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -110,11 +115,12 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return key
 
 
+@tidy
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts(batches, "text"):
-        values, offsets = shingle_sets(batch.column("text"))
+    for batch in parts(batches, "text", SLICE_BYTES):
+        values, second, offsets = shingle_sets(batch.column("text"))
         sizes = np.diff(offsets)
-        sums = [np.concatenate([[np.uint64(0)], np.cumsum(A.mix(values + np.uint64(salt)), dtype=np.uint64)]) for salt in (1, 2)]
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(A.mix(x + np.uint64(1)), dtype=np.uint64)]) for x in (values, second)]
         digest = [s[offsets[1:]] - s[offsets[:-1]] for s in sums]
         minima = minima_of(values, offsets)
         keys, bits = band_keys(minima).view(np.int64), packed(minima).view(np.int64)
@@ -130,10 +136,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, bits array<long>")
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts(batches, "text"):
-        values, offsets = shingle_sets(batch.column("text"))
-        blobs = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    for batch in parts(batches, "text", SLICE_BYTES):
+        *pair, offsets = shingle_sets(batch.column("text"))
+        both = np.column_stack(pair)
+        blobs = [both[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
 
 
@@ -141,7 +149,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the wanted documents (doc_id)."""
     few = wanted.count() <= SENT_IDS
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    return rows.mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return rows.mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates()
 
 
 def equal_bits(left: str, right: str):
@@ -156,18 +164,24 @@ def equal_bits(left: str, right: str):
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sets (sorted, distinct) are similar enough."""
+    """Whether two sets (rows of two hashes, distinct) are similar enough."""
     if PERCENT_I * min(len(x), len(y)) < PERCENT_U * max(len(x), len(y)):
         return False
-    both = np.sort(np.concatenate([x, y]))
-    shared = int((both[1:] == both[:-1]).sum())
+    both = np.concatenate([x, y])
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    shared = int((both[1:] == both[:-1]).all(1).sum())
     return PERCENT_I * shared >= PERCENT_U * (len(x) + len(y) - shared)
 
 
+def _set(blob: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(blob.as_buffer(), np.uint64).reshape(-1, 2)
+
+
+@tidy
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
-        keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in sets]
+        keep = [linked(_set(x), _set(y)) for x, y in sets]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -175,7 +189,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b), on full sets."""
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return two.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
+    return two.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long").distinct()
 
 
 def _block_pairs(block: pa.Table) -> np.ndarray:
@@ -216,6 +230,7 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+@tidy
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _by_block(batches):
         rows = np.unique(_block_pairs(block)[:, 1:])
@@ -223,10 +238,11 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from block.take(pa.array(rows)).combine_chunks().to_batches()
 
 
+@tidy
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _by_block(batches):
         comps, ids = block.column("component").to_pylist(), block.column("id").to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("shingles")]
+        sets = [_set(x) for x in block.column("shingles")]
         parent = {c: c for c in comps}
 
         def top(c: int) -> int:
@@ -251,8 +267,10 @@ _ROW = "g long, side long, band int, id long, component long, bits array<long>,
 def mixed_members(keys: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of band buckets with several components that have a possible partner in another one, by block."""
     placed = keys.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n")
-    rows = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 16 / BLOCK_BYTES)).cast("int")
+    mixed = placed.groupBy("key").agg(blocks.alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "blocks")
+    mixed = written(mixed, "mixed-keys")
+    rows = placed.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"),
         # Within one block all pairs count; between two only those across.
@@ -266,32 +284,40 @@ def mixed_members(keys: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFram
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     signed = written(signatures(docs), "signatures")
-    linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    named = signed.where("doc_id IS NOT NULL")
     digest = ["n_shingles", "d0", "d1"]
-    classes = linkable.groupBy(*digest).agg(F.min("doc_id").alias("id"))
-    members = written(signed.where("doc_id IS NOT NULL").select("doc_id", *digest).join(classes, digest, "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id")), "members")
-    reps = written(linkable.join(classes.select("id", *digest), (linkable.doc_id == F.col("id")) & (linkable.n_shingles == classes.n_shingles) & (linkable.d0 == classes.d0) & (linkable.d1 == classes.d1)).select("id", "bands", "bits").dropDuplicates(["id"]), "representatives")
-
-    every = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
-    keys = written(every.join(shared.select("key", "centre"), "key"), "band-keys")
+    # Only sets of several rows need a common id. Written, so that the join sees plain tables and may deal out a frequent set anew.
+    classes = written(named.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
+    members = written(named.select("doc_id", *digest).join(classes, digest, "left").select("doc_id", *digest, F.coalesce("id", "doc_id").alias("id")), "members")
+    own = members.where("doc_id = id AND n_shingles > 0").select("id", *digest).distinct().alias("own")
+    same = [F.col("own.id") == F.col("row.doc_id"), *[F.col(f"own.{c}") == F.col(f"row.{c}") for c in digest]]
+    # One row a set; a doc_id with several texts has several, and its ids are linked below.
+    reps = written(named.alias("row").join(own, same).select("id", *[F.col(f"row.{c}") for c in digest], "bits", "bands").dropDuplicates(["id", *digest]).drop("d0", "d1"), "representatives")
+    spread = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("hi")).where("a <> hi").select("doc_id", "a")
+    same_doc = written(members.join(spread, "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct(), "same-document")
+
+    every = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    shared = written(every.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1").drop("n"), "shared-keys")
+    keys = written(every.join(shared, "key"), "band-keys")
     stars = keys.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     bits = lambda name: reps.select(F.col("id").alias(name), F.col("bits").alias(f"bits_{name}"))
-    likely = written(stars.join(bits("a"), "a").join(bits("b"), "b").where(equal_bits("bits_a", "bits_b") >= LEAST_EQUAL).select("a", "b"), "star-pairs")
+    likely = written(stars.join(bits("a"), "a").join(bits("b"), "b").where(equal_bits("bits_a", "bits_b") >= LEAST_EQUAL).select("a", "b").distinct(), "star-pairs")
 
     # Sets are needed of those only that some partner resembles.
-    known = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(sets_of(docs, written(known, "wanted")), "sets")
-    links = written(confirmed(likely, sets), "star-links")
+    known = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = written(sets_of(docs, known), "sets")
+    links = written(confirmed(likely, sets).union(same_doc), "star-links")
     comp = written(components(links), "components")
-    met = written(mixed_members(keys.select("key", "band", "id"), reps, comp), "mixed-members")
-    lacking = met.select(F.col("id").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
-    more = sets_of(docs, written(lacking, "wanted"))
-    full = met.join(sets.union(more).withColumnRenamed("doc_id", "id"), "id").select("g", "side", "band", "id", "component", "bits", "bands", "shingles")
+    met = written(mixed_members(keys.select("key", "band", "id", "n_shingles"), reps, comp), "mixed-members")
+    discard(shared, keys, likely)
+    lacking = written(met.select(F.col("id").alias("doc_id")).distinct().join(sets.select("doc_id"), "doc_id", "left_anti"), "wanted")
+    full = met.join(sets.union(sets_of(docs, lacking)).withColumnRenamed("doc_id", "id"), "id").select("g", "side", "band", "id", "component", "bits", "bands", "shingles")
     found = written(full.repartition("g").sortWithinPartitions("g").mapInArrow(_block_links, "a long, b long"), "mixed-links")
     if not found.isEmpty():
+        discard(comp)
         comp = written(components(links.union(found)), "components")
-    placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    discard(classes, reps, same_doc, known, lacking, sets, met, links, found)
+    placed = members.select("doc_id", "n_shingles", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     nameless = signed.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return placed.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -7,7 +7,9 @@ sums, scores and verdicts do not depend on the order of work. The threshold is t
 score per feature over documents labelled good and over documents labelled bad, both summed over all labelled rows.
 
 Cases: a null or empty text has no words and fails the base rule; with no good or no bad label there is nothing to
-compare and only the base rule rejects; several labels of one document count as good only if all are.
+compare and only the base rule rejects; several labels of one document count as good only if all are; labels of
+documents that are not there are without effect; rows with one doc_id are judged each by its own text and share a label.
+A text of any length is one row of work. Columns other than doc_id and text pass through unread.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import arrays as A
-from textquarry.llm.common import parts, table
+from textquarry.llm.common import parts, table, tidy
 
 #: Buckets of hashed features (a power of two), and how many travel in one row.
 BUCKET_BITS = 18
 SLICE_BITS = 12
+#: Bytes of text in work at a time, and labelled documents up to which the labels are sent to every executor.
+SLICE_BYTES = 1 << 20
+SENT_LABELS = 1_000_000
 UNIT = 1 << 16
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 SYMBOL = np.zeros(256, bool)
@@ -39,11 +44,11 @@ def features(hashes: np.ndarray, word_offsets: np.ndarray) -> tuple[np.ndarray,
     row = A.rows_of(word_offsets)
     shift = np.uint64(64 - BUCKET_BITS)
     inside = row[1:] == row[:-1]
-    pairs = A.mix(hashes[:-1] * _PAIR + hashes[1:])[inside] if len(hashes) else hashes
+    pairs = A.shingle_hashes(hashes, 2)[inside] if len(hashes) else hashes
     return np.concatenate([hashes >> shift, pairs >> shift]).astype(np.int64), np.concatenate([row, row[1:][inside]] if len(row) else [row])
 
 
-def base_counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, word_offsets: np.ndarray, hashes: np.ndarray, hasher: A.Hasher) -> dict[str, np.ndarray]:
+def base_counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, word_offsets: np.ndarray, hashes: np.ndarray) -> dict[str, np.ndarray]:
     rows = len(offsets) - 1
     n_words = np.diff(word_offsets)
     ends_line = data == 10
@@ -58,7 +63,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, word_
         row = np.searchsorted(offsets, line_start, side="right") - 1
         has = np.searchsorted(starts, stop) > np.searchsorted(starts, line_start)
         line_start, line_end, row = line_start[has], line_end[has], row[has]
-        key = A.mix(hasher(line_start, line_end) + row.astype(np.uint64) * _PAIR)
+        key = A.mix(A.segment_hashes(data, line_start, line_end) + row.astype(np.uint64) * _PAIR)
         _, first = np.unique(key, return_index=True)
         dup_lines = np.bincount(row, minlength=rows) - np.bincount(row[first], minlength=rows)
     else:
@@ -68,7 +73,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, word_
     if len(hashes) > 2:
         row = A.rows_of(word_offsets)
         inside = row[2:] == row[:-2]
-        three = A.mix((hashes[:-2] * _PAIR + hashes[1:-1]) * _PAIR + hashes[2:] + A.mix(row[2:].astype(np.uint64)))
+        three = A.mix(A.shingle_hashes(hashes, 3) + A.mix(row[2:].astype(np.uint64)))
         again = np.zeros(len(three), bool)
         again[inside] = A.repeated(three[inside])
         for shift in range(3):
@@ -87,15 +92,15 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, word_
 def _read(batch: pa.RecordBatch):
     data, offsets = A.texts(batch.column("text"))
     starts, ends, word_offsets = A.words(data, offsets)
-    hasher = A.Hasher(data)
-    return data, offsets, starts, word_offsets, hasher(starts, ends), hasher
+    return data, offsets, starts, word_offsets, A.segment_hashes(data, starts, ends)
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of this task's rows: kind 0 all, 1 labelled good, 2 labelled bad; one row for each kind and slice of buckets."""
     counts = np.zeros((3, 1 << BUCKET_BITS), np.int64)
-    for batch in parts(batches, "text"):
-        _, _, _, word_offsets, hashes, _ = _read(batch)
+    for batch in parts(batches, "text", SLICE_BYTES):
+        _, _, _, word_offsets, hashes = _read(batch)
         bucket, row = features(hashes, word_offsets)
         label = batch.column("good").fill_null(-1).to_numpy(zero_copy_only=False)[row] if len(row) else row
         counts[0] += np.bincount(bucket, minlength=1 << BUCKET_BITS)
@@ -126,7 +131,9 @@ class Ratios:
 def fit(docs: DataFrame, labels: DataFrame) -> Ratios:
     """Count both multinomials over all of ``docs``. What comes to the driver is three vectors of 2**18 counts."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("good"))
-    rows = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left").select("text", "good")
+    # Beyond the bound texts and labels meet by a shuffle.
+    good = F.broadcast(good) if good.count() <= SENT_LABELS else good.hint("shuffle_hash")
+    rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", "good")
     sums = rows.mapInArrow(_count, "kind int, slice int, counts binary").groupBy("kind", "slice").applyInArrow(_add, "kind int, slice int, counts binary")
     counts = np.zeros((3, 1 << (BUCKET_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int64)
     for kind, piece, blob in sums.collect():
@@ -142,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ratios:
 
 
 def judge(batch: pa.RecordBatch, ratios: Ratios) -> dict[str, np.ndarray]:
-    data, offsets, starts, word_offsets, hashes, hasher = _read(batch)
-    out = base_counts(data, offsets, starts, word_offsets, hashes, hasher)
+    data, offsets, starts, word_offsets, hashes = _read(batch)
+    out = base_counts(data, offsets, starts, word_offsets, hashes)
     bucket, row = features(hashes, word_offsets)
     total = np.bincount(row, weights=ratios.units[bucket], minlength=batch.num_rows).astype(np.int64)  # whole numbers far below 2**53
     n = np.bincount(row, minlength=batch.num_rows)
@@ -155,8 +162,9 @@ def measure(docs: DataFrame, ratios: Ratios) -> DataFrame:
     """doc_id, the base counts, score_units (sum of log ratios), n_features, score (their mean, in nats) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", SLICE_BYTES):
             out = judge(batch, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out.values())], names=["doc_id", *out])
 
@@ -167,8 +175,9 @@ def accepted(docs: DataFrame, ratios: Ratios) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", SLICE_BYTES):
             yield batch.filter(pa.array(judge(batch, shared.value)["kept"]))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import parts, table
+from textquarry.llm.common import parts, table, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -187,6 +187,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end, text, base) of every document."""
     model = model or train(samples())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("base", pa.bool_())]))
         for batch in parts(batches, "text"):
@@ -216,6 +217,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, its secrets replaced by ``[SECRET]`` and n_chars counted anew."""
     model = train(samples())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
             old = batch.column("text").to_pylist()

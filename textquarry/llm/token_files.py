@@ -149,8 +149,8 @@ def batch_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text, by the byte-level tokenizer at ``path``, with the end id."""
     data, offsets = A.texts(column)
     met = bpe.pieces(path, bpe.Pieces, bpe.byte_cuts)
-    odd = bpe.odd_rows(data, offsets).tolist()
-    slots, piece_offsets = met.look_up(data, offsets)
+    slots, piece_offsets, other = met.look_up(data, offsets)
+    odd = (bpe.odd_rows(data, offsets) | other).tolist()
     counts = met.count[slots]
     flat = met.flat[A.ragged(met.start[slots], counts)]
     at = np.concatenate([[0], np.cumsum(counts)])[piece_offsets].tolist()
