@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 
@@ -25,9 +26,15 @@ def base(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), failed
 
 
+@cache
+def hash_of(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return A.segment_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
+
+
+@cache
 def bucket(*words):
-    hashes = [int(A.segment_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for w in words]
-    return int(A.shingle_hashes(np.array(hashes, np.uint64), len(hashes))[0]) >> (64 - Q.BUCKET_BITS)
+    return int(A.shingle_hashes(np.array([hash_of(w) for w in words], np.uint64), len(words))[0]) >> (64 - Q.BUCKET_BITS)
 
 
 def brute(rows, labels):

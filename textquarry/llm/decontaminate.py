@@ -1,28 +1,36 @@
 """Benchmark decontamination (operator 7) by template canonicalisation, in DataFrame functions only.
 
 Words lose the punctuation around them and their case; numbers, names and units become typed placeholders. Windows of
-``WINDOW`` such words of every text are hashed and joined with those of the benchmark. For each alignment of a text
-with an item (text position minus item position) the slots are compared: an item's value must stand for one value of
-the text, so a question asked again with other numbers or names is found and a chance meeting of templates is not.
-Windows in which it stands for another are left out, save those equal word for word. A document is contaminated by an
-item if the windows left cover at least ``COVERAGE`` of the item's words.
-
-An item with fewer words than a window is a window of its own length; one with fewer than ``LEAST`` words is ignored.
-The benchmark's windows are broadcast if there are at most ``SENT_WINDOWS``; beyond, both sides are shuffled by hash.
-
-Cases: null or empty texts and items match nothing; rows with the same doc_id are judged together; rows without doc_id
-are kept out of matching and come out clean; an empty benchmark leaves everything clean.
+``WINDOW`` such words of every text are hashed and joined with those of the benchmark. An item with fewer words is one
+window of its own length, however short. A window of placeholders alone is no evidence and is not compared.
+
+Slots of all windows that a text and an item share are then compared together. An item's value must stand for one
+value of the text wherever it stands, and a value of the text for one of the item's: of several, the pair that stands in
+most of the item's windows counts, then the one that is the item's own value, then the greatest. Windows with another
+pair are left out, save those equal word for word. So a question asked again with other numbers or names is found, also
+where the text changes only one of them, and parts that contradict each other do not add up. A document is contaminated
+by an item if the windows left cover at least ``COVERAGE`` of the item's words.
+
+The first pass over the texts makes nothing but the hashes of their windows; the words of those few documents with a hit
+are then read again, and hits are compared word for word, so hashes decide nothing. The benchmark's windows are broadcast
+if there are at most ``SENT_WINDOWS``, the ids of documents with a hit if at most ``SENT_IDS``; beyond, both sides are
+shuffled.
+
+Cases: null or empty texts and items match nothing; rows with the same doc_id are judged together, each window in its own
+text; rows of the benchmark with the same item_id are one item, whose words are counted over all of them; rows without
+doc_id or item_id are kept out of matching, the former come out clean; an empty benchmark leaves everything clean. A text of
+any length is one row of work. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table
+from textquarry.llm.common import table, written
 
-WINDOW, LEAST, COVERAGE = 5, 3, 0.6
-SENT_WINDOWS = 100_000
+WINDOW, COVERAGE = 5, 0.6
+SENT_WINDOWS, SENT_IDS = 100_000, 500_000
 #: Words that are slots.
 NUMBERS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 UNITS = (
@@ -40,70 +48,80 @@ _PUNCTUATION = rf"[^\p{{L}}\p{{N}}{_WS}]"
 SLOTS = ("<num>", "<name>", "<unit>")
 
 
-def words(docs: DataFrame, key: str) -> DataFrame:
-    """``key``, ``raw`` (words without outer punctuation, lower case) and ``canon`` (with placeholders), aligned."""
+def words(docs: DataFrame, *keys: str) -> DataFrame:
+    """The keys, ``raw`` (words without outer punctuation, lower case) and ``canon`` (with placeholders), aligned."""
     bare = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), rf"(?<!{_PUNCTUATION}){_PUNCTUATION}++(?![^{_WS}])|(?<![^{_WS}]){_PUNCTUATION}++", "")
     numbered = lambda s: F.regexp_replace(s, rf"(?<![^{_WS}])[0-9]++(?:[.,:/-][0-9]++)*+(?![^{_WS}])", SLOTS[0])
     split = lambda s: F.split(F.btrim(s, F.lit(" \t\n\x0b\f\r")), f"[{_WS}]+")
     typed = lambda w: F.when(w.isin(*NUMBERS), SLOTS[0]).when(w.isin(*NAMES), SLOTS[1]).when(w.isin(*UNITS), SLOTS[2]).otherwise(w)
-    return docs.select(key, bare.alias("bare")).where("length(bare) > 0").select(key, split(F.col("bare")).alias("raw"), F.transform(split(numbered(F.col("bare"))), typed).alias("canon"))
+    found = docs.select(*keys, bare.alias("bare")).where(rf"bare RLIKE '[\\p{{L}}\\p{{N}}]'")
+    return found.select(*keys, split(F.col("bare")).alias("raw"), F.transform(split(numbered(F.col("bare"))), typed).alias("canon"))
 
 
-def windows(found: DataFrame, key: str, width: int) -> DataFrame:
-    """``key``, ``pos``, ``hash`` and ``slots`` (raw words in slots, else null; null if the window has no slot)."""
-    n = F.least(F.size("raw"), F.size("canon"))
+def hashes(found: DataFrame, widths: list[int], *keys: str) -> DataFrame:
+    """The keys, ``width``, ``pos`` (from 1) and ``hash`` of every window of each width."""
 
-    def window(i: Column) -> Column:
-        canon, raw = F.slice("canon", i, width), F.slice("raw", i, width)
-        slots = F.when(F.arrays_overlap(canon, F.array(*map(F.lit, SLOTS))), F.zip_with(canon, raw, lambda c, r: F.when(c.isin(*SLOTS), r)))
-        return F.struct(i.alias("pos"), F.xxhash64(canon).alias("hash"), slots.alias("slots"))
+    n = F.size("canon")
 
-    listed = F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), window))
+    def listed(width: int) -> Column:
+        window = lambda i: F.struct(F.lit(width).alias("width"), i.alias("pos"), F.xxhash64(F.slice("canon", i, width)).alias("hash"))
+        return F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), window))
+
+    every = listed(widths[0]) if len(widths) == 1 else F.flatten(F.filter(F.array(*map(listed, widths)), F.isnotnull))
     # The outer form: for the inner one the optimiser would filter by the list's size and so build every list twice.
-    return found.select(key, F.inline_outer(listed)).where("hash IS NOT NULL")
+    return found.select(*keys, F.inline_outer(every)).where("hash IS NOT NULL")
+
 
+def _plain(window: Column) -> Column:
+    return F.exists(window, lambda w: ~w.isin(*SLOTS))
 
-def _kept(met: Column) -> Column:
-    """The windows (at, pairs) of an alignment without those in which an item's value stands for other than its usual one.
 
-    The usual value is the one of most windows, then the item's own, then the greatest. A window equal to the item's in
-    its raw words always stays.
-    """
-    every = F.flatten(F.transform(met, lambda w: w["pairs"]))
-    different = F.array_distinct(every)
-    counted = F.transform(different, lambda p: F.struct(F.size(F.filter(every, lambda q: q == p)).alias("n"), (p["asked"] == p["slots"]).alias("same"), p["slots"].alias("slots"), p["asked"].alias("asked")))
-    rank = lambda c: F.struct(c["n"], c["same"], c["slots"])
-    usual = F.filter(counted, lambda c: ~F.exists(counted, lambda o: (o["asked"] == c["asked"]) & (rank(o) > rank(c))))
-    fits = lambda p: F.exists(usual, lambda c: (c["asked"] == p["asked"]) & (c["slots"] == p["slots"]))
-    equal = lambda w: F.forall(w["pairs"], lambda p: p["asked"] == p["slots"])
-    one_each = F.size(different) == F.size(F.array_distinct(F.transform(different, lambda p: p["asked"])))
-    return F.when(one_each, met).otherwise(F.filter(met, lambda w: equal(w) | F.forall(w["pairs"], fits)))
+def _best(of: str, value: str) -> Column:
+    """The place of a pair among those of one value: most windows first, then the item's own value, then the greatest."""
+    return F.row_number().over(Window.partitionBy("doc_id", "item_id", of).orderBy(F.desc("n"), F.desc(F.col("asked") == F.col("given")), F.desc(value)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, covered, changed) of every document and item that share consistent windows."""
-    items = words(benchmark.where("item_id IS NOT NULL").select("item_id", "text"), "item_id").withColumn("n_words", F.size("canon")).where(F.col("n_words") >= LEAST)
-    # The widths of short items: at most WINDOW - LEAST of them, mostly none.
+    spark = docs.sparkSession
+    # ``part`` tells rows of one item from each other.
+    items = words(benchmark.where("item_id IS NOT NULL").select("item_id", "text", F.xxhash64("text").alias("part")).dropDuplicates(), "item_id", "part").withColumn("n_words", F.size("canon"))
+    items = written(items, "benchmark-words")
+    # At most WINDOW widths, mostly one.
     widths = sorted(r[0] for r in items.select(F.least("n_words", F.lit(WINDOW)).alias("w")).distinct().collect())
-    texts = words(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id")
-    found = None
-    for width in widths:
-        own = items.where(F.col("n_words") >= WINDOW if width == WINDOW else F.col("n_words") == width)
-        lengths = own.select("item_id", "n_words")
-        known = windows(own.select("item_id", "raw", "canon"), "item_id", width).select("item_id", F.col("pos").alias("at"), "hash", F.col("slots").alias("asked"))
-        if known.count() <= SENT_WINDOWS:
-            known = F.broadcast(known)
-        met = windows(texts, "doc_id", width).join(known, "hash").select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"), "slots", "asked")
-        # Pairs of an item's value and the text's value for it.
-        pairs = F.filter(F.arrays_zip("asked", "slots"), lambda p: p["asked"].isNotNull())
-        met = met.withColumn("pairs", F.coalesce(pairs, F.array().cast("array<struct<asked:string,slots:string>>")))
-        aligned = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("at", "pairs")).alias("met")).withColumn("kept", _kept(F.col("met")))
-        sound = aligned.select("doc_id", "item_id", F.transform("kept", lambda w: w["at"]).alias("at"), F.exists(F.flatten(F.transform("kept", lambda w: w["pairs"])), lambda p: p["asked"] != p["slots"]).alias("changed"))
-        places = F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (width - 1)))))))
-        judged = sound.groupBy("doc_id", "item_id").agg(F.size(places).alias("covered"), F.bool_or("changed").alias("changed"))
-        judged = judged.join(lengths.groupBy("item_id").agg(F.max("n_words").alias("n_words")), "item_id").select("doc_id", "item_id", "n_words", "covered", "changed")
-        found = judged if found is None else found.union(judged)
-    return found if found is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_words int, covered int, changed boolean")
+    if not widths:
+        return spark.createDataFrame([], "doc_id long, item_id long, n_words long, covered long, changed boolean")
+    own = items.withColumn("width", F.least("n_words", F.lit(WINDOW)))
+    asked = own.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("n_words") - F.col("width") + 1)))
+    piece = lambda c, at: F.slice(c, at, F.col("width"))
+    asked = asked.select("item_id", "part", "width", "at", piece("raw", F.col("at")).alias("asked"), piece("canon", F.col("at")).alias("canon")).where(_plain(F.col("canon")))
+    asked = written(asked.withColumn("hash", F.xxhash64("canon")), "benchmark-windows")
+    known = asked.select("width", "hash").distinct()
+    known = F.broadcast(known) if known.count() <= SENT_WINDOWS else known
+
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("row"))
+    hits = hashes(words(texts, "doc_id", "row"), widths, "doc_id", "row").join(known, ["width", "hash"], "left_semi")
+    hits = written(hits.distinct(), "window-hits")
+    wanted = hits.select("doc_id", "row").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+    again = words(texts.join(wanted, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]), "doc_id", "row")
+    places = hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("width", "pos", "hash")).alias("places"))
+    given = again.join(places, ["doc_id", "row"]).select("doc_id", F.explode(F.transform("places", lambda p: F.struct(p["width"].alias("width"), p["hash"].alias("hash"), F.slice("raw", p["pos"], p["width"]).alias("given"), F.slice("canon", p["pos"], p["width"]).alias("canon")))).alias("w")).select("doc_id", "w.*").distinct()
+    met = given.join(asked, ["width", "hash", "canon"]).select("doc_id", "item_id", "part", "at", "width", "asked", "given", "canon")
+    met = written(met.distinct(), "windows-met")
+
+    slot = met.where("asked <> given").select("doc_id", "item_id").distinct().join(met, ["doc_id", "item_id"])
+    pairs = slot.select("doc_id", "item_id", "part", "at", F.explode(F.filter(F.arrays_zip("asked", "given", "canon"), lambda p: p["canon"].isin(*SLOTS))).alias("p"))
+    counted = pairs.select("doc_id", "item_id", "part", "at", "p.asked", "p.given").distinct().groupBy("doc_id", "item_id", "asked", "given").agg(F.count("*").alias("n"))
+    usual = counted.withColumn("k", _best("asked", "given")).where("k = 1").withColumn("k", _best("given", "asked")).where("k = 1")
+    usual = usual.groupBy("doc_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("asked", "given"))).alias("usual"))
+    judged = met.join(usual, ["doc_id", "item_id"], "left")
+    fits = F.forall(F.arrays_zip("asked", "given", "canon"), lambda p: ~p["canon"].isin(*SLOTS) | F.coalesce(F.col("usual")[p["asked"]] == p["given"], F.lit(False)))
+    sound = judged.where((F.col("asked") == F.col("given")) | fits)
+    covered = sound.select("doc_id", "item_id", "part", (F.col("asked") != F.col("given")).alias("changed"), F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("place"))
+    covered = covered.groupBy("doc_id", "item_id", "part", "place").agg(F.bool_or("changed").alias("changed")).groupBy("doc_id", "item_id").agg(F.count("*").alias("covered"), F.bool_or("changed").alias("changed"))
+    lengths = items.groupBy("item_id").agg(F.sum("n_words").alias("n_words"))
+    return covered.join(lengths, "item_id").select("doc_id", "item_id", "n_words", "covered", "changed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -130,33 +148,42 @@ def _sql_list(words_: list[str]) -> str:
 
 SQL = rf"""
 WITH texts AS (
-  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+  SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark),
 raw AS (
-  SELECT side, id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'),
-    lambda w: regexp_replace(w, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g')), lambda w: w <> '') AS raw FROM texts),
+  SELECT side, id, hash(text) AS part, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'),
+    lambda w: regexp_replace(w, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g')), lambda w: w <> '') AS raw FROM texts WHERE id IS NOT NULL),
 canon AS (
-  SELECT side, id, raw, list_transform(raw, lambda w: CASE
+  SELECT side, id, part, len(raw) AS n, raw, list_transform(raw, lambda w: CASE
     WHEN regexp_full_match(w, '[0-9]+([.,:/-][0-9]+)*') OR w IN ({_sql_list(NUMBERS)}) THEN '<num>'
-    WHEN w IN ({_sql_list(NAMES)}) THEN '<name>' WHEN w IN ({_sql_list(UNITS)}) THEN '<unit>' ELSE w END) AS canon FROM raw),
+    WHEN w IN ({_sql_list(NAMES)}) THEN '<name>' WHEN w IN ({_sql_list(UNITS)}) THEN '<unit>' ELSE w END) AS canon FROM raw WHERE len(raw) > 0),
+lengths AS (SELECT id AS item_id, sum(n) AS n FROM canon WHERE side = 'b' GROUP BY id),
+widths AS (SELECT DISTINCT least(n, {WINDOW}) AS w FROM canon WHERE side = 'b'),
 placed AS (
-  SELECT side, id, len(raw) AS n, i AS pos, array_to_string(canon[i:i + {WINDOW - 1}], ' ') AS key, raw[i:i + {WINDOW - 1}] AS raw, canon[i:i + {WINDOW - 1}] AS canon
-  FROM (SELECT *, unnest(range(1, len(raw) - {WINDOW - 2})) AS i FROM canon WHERE len(raw) >= {WINDOW})),
+  SELECT side, id, part, n, w, i AS pos, array_to_string(canon[i:i + w - 1], ' ') AS key, raw[i:i + w - 1] AS raw, canon[i:i + w - 1] AS canon
+  FROM (SELECT *, unnest(range(1, n - w + 2)) AS i FROM canon, widths WHERE n >= w AND (side = 'd' OR w = least(n, {WINDOW})))),
 met AS (
-  SELECT d.id AS doc_id, b.id AS item_id, b.n, b.pos AS at, d.pos - b.pos AS shift, b.raw AS asked, d.raw AS given, b.canon
-  FROM placed d JOIN placed b ON d.side = 'd' AND b.side = 'b' AND d.key = b.key),
+  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, b.part, b.pos AS place, b.w, b.raw AS asked, d.raw AS given, b.canon
+  FROM placed d JOIN placed b ON d.side = 'd' AND b.side = 'b' AND d.key = b.key AND d.w = b.w
+  WHERE len(list_filter(b.canon, lambda c: c NOT IN ('<num>', '<name>', '<unit>'))) > 0),
+numbered AS (SELECT *, row_number() OVER () AS m FROM met),
 slots AS (
-  SELECT doc_id, item_id, shift, asked[k] AS asked, given[k] AS given
-  FROM (SELECT *, unnest(range(1, {WINDOW + 1})) AS k FROM met) WHERE canon[k] IN ('<num>', '<name>', '<unit>')),
-sound AS (
-  SELECT doc_id, item_id, shift, count(DISTINCT asked) = count(DISTINCT asked || chr(0) || given) AS ok, bool_or(asked <> given) AS changed
-  FROM slots GROUP BY ALL),
+  SELECT doc_id, item_id, part, place, m, asked[k] AS asked, given[k] AS given
+  FROM (SELECT *, unnest(range(1, w + 1)) AS k FROM numbered) WHERE canon[k] IN ('<num>', '<name>', '<unit>')),
+counted AS (SELECT doc_id, item_id, asked, given, count(DISTINCT (part, place)) AS n FROM slots GROUP BY ALL),
+one_way AS (
+  SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, asked ORDER BY n DESC, asked = given DESC, given DESC) = 1),
+usual AS (
+  SELECT * FROM one_way QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, given ORDER BY n DESC, asked = given DESC, asked DESC) = 1),
+odd AS (
+  SELECT DISTINCT m FROM slots s WHERE NOT EXISTS (
+    SELECT 1 FROM usual u WHERE u.doc_id = s.doc_id AND u.item_id = s.item_id AND u.asked = s.asked AND u.given = s.given)),
+sound AS (SELECT * FROM numbered WHERE asked = given OR m NOT IN (SELECT m FROM odd)),
 cover AS (
-  SELECT m.doc_id, m.item_id, any_value(m.n) AS n, count(DISTINCT m.at + k) AS covered, coalesce(bool_or(s.changed), false) AS changed
-  FROM (SELECT *, unnest(range(0, {WINDOW})) AS k FROM met) m LEFT JOIN sound s USING (doc_id, item_id, shift)
-  WHERE coalesce(s.ok, true) GROUP BY m.doc_id, m.item_id),
+  SELECT doc_id, item_id, count(DISTINCT (part, place + k)) AS covered, bool_or(asked <> given) AS changed
+  FROM (SELECT *, unnest(range(0, w)) AS k FROM sound) GROUP BY doc_id, item_id),
 hit AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, bool_or(changed) AS reparameterised
-  FROM cover WHERE covered >= {COVERAGE} * n GROUP BY doc_id)
+  FROM cover JOIN lengths USING (item_id) WHERE covered >= {COVERAGE} * n GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, '') AS items,
        coalesce(reparameterised, false) AS reparameterised
 FROM documents LEFT JOIN hit USING (doc_id)
