@@ -11,10 +11,11 @@ Any zstandard decoder reads the data frames as one stream and skips the rest. ``
 that hold the requested documents, and checks each against the table.
 
 A task writes under a name with its attempt; only names that a finished task reports are read, so a retried or
-repeated task leaves no half file behind in the result. The driver receives one row (name and number of ids) a file.
+repeated task leaves no half file behind in the result. What tasks report is a table in the shared folder.
 
 Cases: a null or empty text is the end id alone; a null doc_id comes first; rows with the same doc_id follow each other
-by text; an empty table writes no file.
+by text; an empty table writes no file. A text of any length is one row of work, but many frames. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,15 +31,18 @@ import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from textquarry.llm import arrays as A
 from textquarry.llm import bpe
-from textquarry.llm.common import fresh_path, parts, pieces_for, table
+from textquarry.llm.common import fresh_path, parts, pieces_for, table, tidy, written
 
 END_ID = 0
 FRAME_IDS = 1 << 16
 LEVEL = 3
+#: Bytes of text in work at a time, and files whose running total one task takes.
+SLICE_BYTES, SPAN = 1 << 20, 4096
 #: Fixed values of the format: magic numbers of skippable frames (index, seek table) and of the table's end, and its descriptor (checksums present).
 INDEX_MAGIC, SEEK_MAGIC, END_MAGIC, DESCRIPTOR = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -159,12 +163,17 @@ def batch_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
         yield np.append(ids, END_ID).astype(np.uint32)
 
 
-def write(docs: DataFrame, folder: str, path: str, n_files: int | None = None) -> list[tuple[str, int]]:
-    """Write all documents to files in ``folder``; (path, number of ids before the file), in order."""
+def write(docs: DataFrame, folder: str, path: str, n_files: int | None = None) -> DataFrame:
+    """Write all documents to files in ``folder``; (part, path, n, before) of each: its ids and those in files before it.
 
+    The list of files is a table of the shared folder and never comes to the driver. Running totals are taken within spans
+    of ``SPAN`` files and then over the spans' totals, so no task sees more than that many files or spans.
+    """
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, writer, name, total = TaskContext.get(), None, "", 0
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", SLICE_BYTES):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch_ids(batch.column("text"), path), strict=True):
                 if writer is None:
                     system, at = _file_system(folder)
@@ -175,30 +184,31 @@ def write(docs: DataFrame, folder: str, path: str, n_files: int | None = None) -
                 total += len(ids)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "name": [name], "n": [total]})
+            yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "path": [f"{folder}/{name}"], "n": [total]})
 
     n = n_files or pieces_for(docs, "text")
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    out, before = [], 0
-    for _, name, total in sorted(ordered.mapInArrow(run, "part long, name string, n long").collect()):
-        out.append((f"{folder}/{name}", before))
-        before += total
-    return out
+    files = written(ordered.mapInArrow(run, "part long, path string, n long"), "token-files").withColumn("span", F.floor(F.col("part") / SPAN))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = files.groupBy("span").agg(F.sum("n").alias("n")).select("span", earlier(Window.orderBy("span")).alias("spans_before"))
+    listed = files.withColumn("before", earlier(Window.partitionBy("span").orderBy("part"))).join(spans, "span")
+    return listed.select("part", "path", "n", (F.col("before") + F.col("spans_before")).alias("before"))
 
 
-def read(spark: SparkSession, files: list[tuple[str, int]], wanted: set[int] | None = None) -> DataFrame:
+def read(files: DataFrame, wanted: set[int] | None = None) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of the documents in files as ``write`` lists them."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 rows = [(doc_id, before + at, len(ids), zlib.crc32(ids.tobytes())) for doc_id, at, ids in open_file(path).documents(wanted)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ([],) * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    listed = spark.createDataFrame(files, "path string, before long").repartition(max(1, len(files)))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A file a task: files are listed in one small table, which is dealt out by their number.
+    dealt = files.select("path", "before", "part").repartition(max(1, files.count()), "part")
+    return dealt.select("path", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write(table(spark, sf_dir, "documents"), fresh_path(spark, "token-ids"), bpe.public_path("byte_bpe_50k.json"))
-    return read(spark, files)
+    return read(write(table(spark, sf_dir, "documents"), fresh_path(spark, "token-ids"), bpe.public_path("byte_bpe_50k.json")))
