@@ -61,3 +61,30 @@ def test_text_outside_the_widest_child_is_kept(spark):
     found = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found[4].path == ">html>body>div.box" and found[4].text == f"{INTRO.strip()}\n\n{BODY.strip()}"
     assert {found[k].text for k in range(4)} == {BODY.strip()}
+
+
+def test_unclosed_cdata_and_class_words_within_an_article():
+    assert H.text_of("<p>first</p><![CDATA[last words", None).endswith("last words")
+    assert H.text_of("<p>a <![CDATA[b < c]]> d</p>", None) == "a b < c d"
+    page = f'<article><p>{BODY}</p><div class="search results"><p>{INTRO}</p></div><div class="share widget"><a href="#">Share this</a> <a href="#">Send</a></div><div class="advert"><p>{INTRO}</p></div><p>End.</p></article>'
+    assert H.text_of(page, None) == f"{BODY.strip()}\n\n{INTRO.strip()}\n\nEnd."
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    took = []
+    for depth in (4000, 32000):
+        page = "<div class='x'>" * depth + "<p>deep words</p>" * 50 + "</section></div>" * depth
+        began = time.perf_counter()
+        assert H.text_of(page, "".join([">div.x"] * depth)) == "\n\n".join(["deep words"] * 50)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+
+
+def test_winners_by_salted_join(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 3}.example/{k}" if k % 5 else None, f"<html><body><div class='box'><p>{BODY}{k}</p></div></body></html>") for k in range(40)] + [(3, "http://h0.example/3", "<p>x</p>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, H.extract(frame).collect()))
+    monkeypatch.setattr(H, "SENT_HOSTS", 0)
+    assert sorted(map(str, H.extract(frame).collect())) == want and len(want) == len(rows)
