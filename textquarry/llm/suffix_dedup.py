@@ -18,7 +18,8 @@ Two equal windows of 50 bytes have the same *anchor*: the smallest hash among th
 Documents whose whole text is that of a smaller doc_id take no part: all their bytes go (if there are 50).
 
 Cases: a null or empty text has nothing to remove; a row without doc_id neither loses bytes nor makes others lose any;
-rows with the same doc_id do not affect each other.
+rows with the same doc_id do not affect each other. A text of any length is one row of work, cut into runs of bounded size.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import arrays as A
-from textquarry.llm.common import parts, pieces_for, release, table
+from textquarry.llm.common import parts, pieces_for, release, table, written
 
 WIDTH = 50
 ANCHOR = 20
@@ -110,10 +111,14 @@ def _anchors(n: int):
             release()
             anchor, piece = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.argsort(anchor)
+            # One entry an anchor and piece, however many documents have it.
+            order = np.lexsort((piece, anchor))
             anchor, piece = anchor[order], piece[order]
+            first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]))) if len(anchor) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(anchor))).astype(np.uint32)
+            anchor, piece = anchor[first], piece[first]
             found = list(_groups(_part_of(anchor, n)))
-            blobs = [_pack(anchor[at].view(np.uint8).reshape(-1, 8)[:, :6].copy(), piece[at].astype(np.uint32)) for _, at in found]
+            blobs = [_pack(anchor[at].view(np.uint8).reshape(-1, 8)[:, :6].copy(), piece[at].astype(np.uint32), count[at]) for _, at in found]
             return pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in found], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
         for batch in parts(batches, "text", SLICE_BYTES):
@@ -134,19 +139,20 @@ def _anchors(n: int):
 def _shared(group: pa.Table) -> pa.Table:
     """Anchors of a part that two or more documents have, for each piece; those of many documents are marked (bit 63)."""
     release()
-    anchors, pieces = [], []
+    anchors, pieces, counts = [], [], []
     for blob in group.column("blob"):
-        raw, piece = _unpack(blob.as_py())
+        raw, piece, many = _unpack(blob.as_py())
         full = np.zeros((len(raw) // 6, 8), np.uint8)
         full[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
         anchors.append(full.view(np.uint64).reshape(-1))
         pieces.append(np.frombuffer(piece, np.uint32))
-    anchor, piece = np.concatenate(anchors), np.concatenate(pieces)
+        counts.append(np.frombuffer(many, np.uint32))
+    anchor, piece, count = np.concatenate(anchors), np.concatenate(pieces), np.concatenate(counts).astype(np.int64)
     order = np.argsort(anchor, kind="stable")
     anchor, piece = anchor[order], piece[order]
     first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(anchor)))
-    count = np.repeat(count, count)
+    # Documents that have the anchor, at each of its entries.
+    count = np.repeat(np.add.reduceat(count[order], first), np.diff(np.append(first, len(anchor)))) if len(anchor) else count
     keep = count > 1
     anchor, piece = anchor[keep] | ((count[keep] >= FREQUENT).astype(np.uint64) << np.uint64(63)), piece[keep]
     found = [(k, np.unique(anchor[at])) for k, at in _groups(piece)]
@@ -426,7 +432,8 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     anchors = keyed.where("doc_id IS NOT NULL").select("p", "text").mapInArrow(_anchors(n), "part long, blob binary").groupBy("part").applyInArrow(_shared, _PIECES)
 
     digest = keyed.where(f"doc_id IS NOT NULL AND octet_length(text) >= {WIDTH}").select("p", "doc_id", F.md5("text").alias("digest"))
-    least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join sees two plain tables and a text with very many copies can be dealt out to several tasks.
+    least = written(digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-texts")
     copies = digest.join(least, "digest").where("doc_id > least").groupBy("p").agg(F.collect_set(F.concat_ws(":", "doc_id", "digest")).alias("ids"))
     copies = copies.select("p", F.lit(_KIND["copies"]).alias("kind"), F.lit(None).cast("binary").alias("blob"), "ids")
 
