@@ -53,7 +53,7 @@ def test_classifier_adds_and_spares(spark):
         (3, "IBAN DE89 3704 0044 0532 0130 00 end"), (4, None), (5, "+1 (212) 555-0182 is a phone"), (6, "Dear Klaus Wagner"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = P.fit(P.vote_counts(docs))
+    model = P.fit(P.vote_counts(P.spans(docs)))
     found = {r.doc_id: [(s.kind, rows[r.doc_id][1][s.start : s.end]) for s in r.added] for r in P.find(docs, model).collect()}
     assert found == {0: [("name", "Robert Miller")], 1: [], 2: [("tel", "212-555-0182"), ("ssn", "123-45-6789")], 3: [("iban", "DE89 3704 0044 0532 0130 00")], 4: [], 5: [], 6: [("name", "Klaus Wagner")]}
     assert {r.doc_id: r.text for r in P.redacted(P.find(docs, model)).collect()}[2] == "SSN [SSN], é call me on [TEL] now"
@@ -99,3 +99,54 @@ def test_names_after_capitalised_words(spark):
     found = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.added] for r in P.find(docs, P.fit({})).collect()}
     assert "Anna Smith" in found[0] and "John Brown" in found[1] and "Hans Schmidt" in pairs[2] and "Anna Smith" in found[4] and found[5] == []
     assert len(found[3]) == 1 and "Peter Jones" in found[7] and "Maria Klein" in found[7]
+
+
+def test_many_candidates_in_one_text(spark):
+    import time
+
+    one = "signed Anna Smith, call 212-555-0182 or write to a@b.cd and 1.2.3.4 now. "
+    took = []
+    for n in (2000, 16000):
+        docs = spark.createDataFrame([(1, one * (n // 2))], "doc_id long, text string")
+        began = time.perf_counter()
+        (row,) = P.find(docs, P.fit({})).select(P.F.size("email").alias("e"), P.F.size("ip").alias("i"), P.F.size("added").alias("a")).collect()
+        took.append(time.perf_counter() - began)
+        assert (row.e, row.i, row.a) == (n // 2, n // 2, n)
+    assert took[1] < 30
+
+
+def test_scan_and_overlaps_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(40):
+        own, at = [], 0
+        while at < 3000 * (k % 4):
+            at += rng.randint(1, 9)
+            own.append((at, at + rng.randint(1, 8), "x"))
+            at = own[-1][1]
+        others = [(a, a + rng.randint(1, 12), "y") for a in rng.choices(range(3000), k=rng.choice([0, 1, 5, 300]))]
+        rows.append((k, own, others))
+    frame = spark.createDataFrame(rows, f"id long, own {P._SPAN}, others {P._SPAN}")
+    for r in frame.select("id", P._clear(P.F.col("own"), P.F.col("others")).alias("left")).collect():
+        _, own, others = rows[r.id]
+        assert [(s.start, s.end) for s in r.left] == [(a, b) for a, b, _ in own if not any(c < b and a < d for c, d, _ in others)]
+
+
+def test_reliabilities_follow_the_data():
+    """The more data, the less the priors weigh; and features decide where votes are silent."""
+    import random
+
+    rng, gaps = random.Random(5), []
+    for size in (100, 1000, 30000):
+        counts = {}
+        for _ in range(size):
+            true = rng.random() < 0.5
+            votes = tuple(int(rng.random() < p) for p in ((0.99, 0.9, 0.9) if true else (0.1, 0.1, 0.1)))
+            p = ("tel", *votes, 0, 0, 0, 0 if true else 3, 0)
+            counts[p] = counts.get(p, 0) + 1
+        model = P.fit(counts)
+        gaps.append(abs(model.reliability["tel"]["gazetteer"][0] - 0.9) + abs(model.reliability["tel"]["shape"][1] - 0.1))
+        assert model.values["tel", "behind"][0] > model.values["tel", "behind"][3]
+    assert gaps[2] < 0.05 and gaps[2] < gaps[0]

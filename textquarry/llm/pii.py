@@ -1,30 +1,39 @@
 """Personal data (operator 2) by DataFrame functions only.
 
 Base spans come from fixed patterns with checks. Beyond them, candidate spans (names, national telephone numbers,
-social security numbers, account numbers) are put to three labelers: the *shape* of the span, a *gazetteer* of first
-names, prefixes and countries, and the *context* before it. Expectation-maximisation over the counts of vote patterns
-estimates how reliable each labeler is for each kind; a logistic span classifier is then trained on the posteriors and
-decides every candidate. Patterns are counted over the whole corpus; only their counts (at most a few hundred rows,
-whatever the corpus) reach the driver, and the classifier is applied as a Column expression.
+social security numbers, account numbers) are put to three labelers: the *shape* of the span (regular expressions), a
+*gazetteer* of first names, prefixes and countries, and the *context* before it. Expectation-maximisation over the counts
+of vote patterns estimates how reliable each labeler is for each kind; its posteriors are the training labels of a logistic
+span classifier, whose features are the votes and what the labelers do not see: the characters on either side, the length,
+the place in its line, the word behind, the mix of its characters. It decides every candidate.
 
-Patterns are written so that Java's matcher neither recurses nor restarts inside a run: quantified groups are
-possessive, and a run is entered at its start (or where the last match ended).
+One pass over the corpus finds all spans and candidates and writes those (no texts) to the shared folder. Patterns of votes
+and features are counted over the whole corpus; a pattern has at most ``8 * product of FEATURES`` forms a kind, whatever the
+corpus, and only their counts reach the driver. The classifier is applied as a Column expression to what was written.
 
-Spans are kind:start:end in code points, the end exclusive, by kind and then start. Added spans that overlap a base
-span, or an added span of an earlier kind, are left out; of names that overlap the one that the classifier scores higher
-stays, else the first. Cases: a null or empty text has no spans; repeated rows are
-treated alike; an empty table gives an empty result; without candidates the labelers' prior reliabilities hold.
+Patterns are written so that Java's matcher neither recurses nor restarts inside a run: quantified groups are
+possessive, and a run is entered at its start (or where the last match ended). Spans of a text are found from the lengths
+of the pieces between matches in running sums over chunks, and overlaps by merging sorted spans, so the work grows with the
+text, not with the square of its matches.
+
+Spans are kind:start:end in code points, the end exclusive, by kind and then start. A candidate that overlaps a base span,
+or a candidate of an earlier kind (whether that is taken or not), is left out; of names that overlap the one that the
+classifier scores higher stays, else the first. Cases: a null or empty text has no spans; repeated rows are treated alike;
+an empty table gives an empty result; without candidates the labelers' prior reliabilities hold. Columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table
+from textquarry.llm.common import table, written
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Base kinds in order, and patterns equivalent to the plain ones in the module's contract.
@@ -59,7 +68,37 @@ CONTEXT = {
 }
 LOOK_BACK = 40
 _SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
-Pattern = tuple[str, int, int, int]
+#: Items that ``scanned`` goes through before it puts their results aside.
+CHUNK = 256
+
+
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(x)`` with x evaluated once."""
+    return F.transform(F.array(x), then)[0]
+
+
+def scanned(items: Column, state: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step(state, item)`` gives for each item: (next state, array of results), the results joined.
+
+    An array is copied whole when something is added to it; results are gathered by chunks, so a list of n items costs
+    about n * CHUNK / 2 copies and not n * n / 2.
+    """
+    none = F.array().cast(out)
+
+    def add(acc: Column, item: Column) -> Column:
+        next_, made = step(acc["state"], item)
+        return F.struct(next_.alias("state"), F.concat(acc["out"], made).alias("out"))
+
+    def chunks(every: Column) -> Column:
+        def one(acc: Column, k: Column) -> Column:
+            own = F.aggregate(F.slice(every, k * CHUNK + 1, CHUNK), F.struct(acc["state"].alias("state"), none.alias("out")), add)
+            return let(own, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        start = F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out"))
+        last = F.floor((F.size(every) - 1) / CHUNK).cast("int")
+        return F.when(F.size(every) > 0, F.flatten(F.aggregate(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), start, one, lambda acc: acc["out"]))).otherwise(none)
+
+    return let(items, chunks)
 
 
 def positions(text: Column, pattern: str, group: int = 0) -> Column:
@@ -69,15 +108,33 @@ def positions(text: Column, pattern: str, group: int = 0) -> Column:
     """
     every = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), every(0).alias("match"), every(group).alias("span"))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"]).cast("long")
-        at = start + F.length(x["match"]).cast("long")
-        end = start + F.length(x["span"]).cast("long")
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["span"].alias("text")))).alias("out")))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"]).cast("long")
+        span = F.struct(start.alias("start"), (start + F.length(x["span"]).cast("long")).alias("end"), x["span"].alias("text"))
+        return F.when(x["match"].isNull(), start).otherwise(start + F.length(x["match"]).cast("long")), F.when(x["match"].isNull(), F.array().cast(_SPAN)).otherwise(F.array(span))
+
+    return scanned(both, F.lit(0).cast("long"), _SPAN, step)
+
+
+#: Characters of a block of text.
+BLOCK = 1024
+
+
+def blocks_of(text: Column) -> Column:
+    """A text cut into blocks: finding a place in a string takes time in proportion to the string."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start (included) to end (not included, and not beyond the last) of a text in blocks."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.least(F.floor((end - 1) / BLOCK).cast("int"), F.size(blocks) - 1)
 
-    return F.aggregate(both, empty, add, lambda acc: acc["out"])
+    def part(k: Column) -> Column:
+        a = F.greatest(start - k * BLOCK, F.lit(0))
+        return F.substr(blocks[k], (a + 1).cast("int"), (end - k * BLOCK - a).cast("int"))
+
+    return F.when((end > start) & (last >= first), F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), part), "")).otherwise("")
 
 
 def _digits(x: Column) -> Column:
@@ -120,24 +177,57 @@ def base(docs: DataFrame) -> DataFrame:
     return out.withColumns(found)
 
 
+#: What the classifier sees beside the votes, and how many values each has.
+FEATURES = {"before": 3, "after": 4, "size": 4, "behind": 4, "mixed": 2}
+_VOTES = "shape:int,gazetteer:int,context:int"
+_EXTRA = f"array<struct<kind:string,start:bigint,end:bigint,{_VOTES},{','.join(f'{n}:int' for n in FEATURES)}>>"
+
+
 def candidates(found: DataFrame) -> DataFrame:
-    """Adds ``extra``: candidate spans with their kind and the votes of the three labelers."""
+    """Adds ``extra``: candidate spans with their kind, the votes of the three labelers and the classifier's features."""
     named = {f"{kind}_": F.when(F.col("text").rlike(pattern), positions(F.col("text"), pattern, int(kind == "name"))).otherwise(F.array().cast(_SPAN)) for kind, pattern in EXTRA.items()}
     out = found.withColumns(named)
-    votes, earlier = [], F.flatten(F.array(*BASE))
+    out = out.withColumn("_blocks", F.when(sum((F.size(k) for k in named), F.lit(0)) > 0, blocks_of(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    votes, earlier = [], [F.col(k) for k in BASE]
     for kind in EXTRA:
-        votes.append(_voted(kind, _clear(F.col(f"{kind}_"), earlier)))
-        earlier = F.concat(earlier, F.col(f"{kind}_"))
-    return out.withColumn("extra", F.flatten(F.array(*votes))).drop(*named)
+        own = F.col(f"{kind}_")
+        votes.append(F.when(F.size(own) > 0, _voted(kind, _clear(own, F.flatten(F.array(*earlier))))).otherwise(F.array().cast(_EXTRA)))
+        earlier.append(own)
+    return out.withColumn("extra", F.flatten(F.array(*votes))).drop(*named, "_blocks")
 
 
 def _clear(spans: Column, others: Column) -> Column:
-    """Spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    """Spans that overlap none of the others: none that began earlier reaches them, and none begins before their end."""
+    both = "array<struct<start:bigint,end:bigint,own:boolean,text:string>>"
+    shape = lambda own: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s["text"].alias("text"))
+    ordered = F.array_sort(F.concat(F.transform(others, shape(False)), F.transform(spans, shape(True))))
+    keep = lambda s, ok: F.when(ok, F.array(s)).otherwise(F.array().cast(both))
+    # Of equal starts others come in any order: the way back sees those that the way there did not.
+    there = scanned(ordered, F.lit(0).cast("long"), both, lambda end, s: (F.when(s["own"], end).otherwise(F.greatest(end, s["end"])), keep(s, ~s["own"] | (s["start"] >= end))))
+    back = scanned(F.reverse(there), F.lit(2**62).cast("long"), both, lambda start, s: (F.when(s["own"], start).otherwise(F.least(start, s["start"])), keep(s, s["own"] & (s["end"] <= start))))
+    left = F.transform(F.reverse(back), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
+    return let(others, lambda o: F.when(F.size(o) == 0, spans).otherwise(left))
 
 
 def _voted(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *_votes(kind, s)))
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *_votes(kind, s), *_features(kind, s)))
+
+
+def _features(kind: str, span: Column) -> list[Column]:
+    at = lambda a, b: between(F.col("_blocks"), a, b)
+    before = at(F.greatest(span["start"] - 1, F.lit(0)), span["start"])
+    after, rest = at(span["end"], span["end"] + 1), F.ltrim(at(span["end"], span["end"] + 12))
+    limits = {"tel": (12, 13, 14), "ssn": (10, 11, 12), "iban": (18, 22, 27), "name": (10, 13, 17)}[kind]
+    size = F.length(span["text"])
+    mixed = span["text"].rlike(r"[^\x00-\x7F]") if kind == "name" else span["text"].rlike(r"([0-9A-Z])\1\1")
+    found = {
+        "before": F.when(before.isin("", "\n"), 0).when(before.isin(" ", "\t"), 1).otherwise(2),
+        "after": F.when(after.isin("", "\n"), 0).when(after.isin(" ", "\t"), 1).when(after.isin(*",.;:!?)"), 2).otherwise(3),
+        "size": sum((F.when(size > n, 1).otherwise(0) for n in limits), F.lit(0)),
+        "behind": F.when(rest.rlike(r"^\p{Ll}"), 0).when(rest.rlike(r"^\p{Lu}"), 1).when(rest.rlike(r"^[0-9]"), 2).otherwise(3),
+        "mixed": mixed.cast("int"),
+    }
+    return [found[n].cast("int").alias(n) for n in FEATURES]
 
 
 def _votes(kind: str, span: Column) -> list[Column]:
@@ -152,7 +242,7 @@ def _votes(kind: str, span: Column) -> list[Column]:
     else:
         shape, known = F.forall(F.split(x, " "), lambda w: F.length(w) >= 3), F.split(x, " ")[0].isin(*FIRST_NAMES)
     from_ = F.greatest(span["start"] - LOOK_BACK, F.lit(0))
-    before = F.lower(F.substr(F.col("text"), (from_ + 1).cast("int"), (span["start"] - from_).cast("int")))
+    before = F.lower(between(F.col("_blocks"), from_, span["start"]))
     # (?U): a word boundary knows letters beyond ASCII.
     return [v.cast("int").alias(n) for n, v in (("shape", shape), ("gazetteer", known), ("context", before.rlike(f"(?U){CONTEXT[kind]}")))]
 
@@ -164,21 +254,34 @@ PRIOR_TRUE = {"tel": (8, 12), "ssn": (12, 8), "iban": (12, 8), "name": (2, 18)}
 LABELERS = tuple(PRIOR)
 
 
+#: What a candidate shows: its kind, the votes and the features.
+Pattern = tuple
+_COLUMNS = (*LABELERS, *FEATURES)
+#: Strength with which the classifier's weights are held at zero, as counts: of votes hardly, of features more.
+HELD = {"vote": 0.01, "feature": 10.0}
+
+
 @dataclass(frozen=True)
 class Classifier:
-    """Weights of kind and votes; ``reliability[kind][labeler]`` = (votes for among true, votes for among false)."""
+    """Of each kind the bias and the weights of votes and of each feature's values.
+
+    ``reliability[kind][labeler]`` = (votes for among true, votes for among false).
+    """
 
     bias: dict[str, float]
     weight: dict[tuple[str, str], float]
+    values: dict[tuple[str, str], list[float]]
     reliability: dict[str, dict[str, tuple[float, float]]]
 
-    def score(self, kind: Column, votes: dict[str, Column]) -> Column:
+    def score(self, span: Column) -> Column:
         out = F.lit(None).cast("double")
         for k in EXTRA:
             own = F.lit(self.bias[k])
-            for name, v in votes.items():
-                own = own + F.lit(self.weight[k, name]) * v
-            out = F.when(kind == k, own).otherwise(out)
+            for name in LABELERS:
+                own = own + F.lit(self.weight[k, name]) * span[name]
+            for name in FEATURES:
+                own = own + F.element_at(F.array(*map(F.lit, self.values[k, name])), span[name] + 1)
+            out = F.when(span["kind"] == k, own).otherwise(out)
         return out
 
 
@@ -191,64 +294,106 @@ def _posterior(kind: str, votes: tuple[int, ...], share: dict, sure: dict) -> fl
     return yes / (yes + no)
 
 
-def fit(counts: dict[Pattern, int], rounds: int = 50) -> Classifier:
-    """EM over vote patterns, then a logistic classifier on the posteriors; every possible pattern is a training row."""
+def estimate(counts: dict[Pattern, int], rounds: int = 200) -> tuple[dict, dict]:
+    """EM over vote patterns: the share of true candidates of each kind, and the reliability of each labeler for it.
+
+    The priors are counts beside the corpus's, so the more data there are the less they weigh. A labeler votes for a true
+    span at least as often as for a false one: that keeps the two classes from changing places.
+    """
     share = {k: a / (a + b) for k, (a, b) in PRIOR_TRUE.items()}
-    prior = {n: (t[0] / sum(t), f[0] / sum(f)) for n, (t, f) in PRIOR.items()}
-    sure = {k: dict(prior) for k in EXTRA}
-    # Counts weigh by their logarithm's scale at most as much as WEIGHT prior counts, so that one kind of junk cannot turn the labelers' meaning round.
-    total = {k: sum(n for p, n in counts.items() if p[0] == k) for k in EXTRA}
-    scaled = {p: n * min(1.0, 100 / total[p[0]]) for p, n in counts.items() if n}
+    sure = {k: {n: (t[0] / sum(t), f[0] / sum(f)) for n, (t, f) in PRIOR.items()} for k in EXTRA}
+    votes: dict[tuple, int] = {}
+    for p, n in counts.items():
+        votes[p[: 1 + len(LABELERS)]] = votes.get(p[: 1 + len(LABELERS)], 0) + n
     for _ in range(rounds):
-        post = {p: _posterior(p[0], p[1:], share, sure) for p in scaled}
+        post = {p: _posterior(p[0], p[1:], share, sure) for p in votes}
         for k in EXTRA:
-            own = {p: n for p, n in scaled.items() if p[0] == k}
-            yes, all_ = sum(n * post[p] for p, n in own.items()), sum(own.values())
+            own = {p: n for p, n in votes.items() if p[0] == k}
+            yes, every = sum(n * post[p] for p, n in own.items()), sum(own.values())
             a, b = PRIOR_TRUE[k]
-            share[k] = (yes + a) / (all_ + a + b)
+            share[k] = (yes + a) / (every + a + b)
             for j, name in enumerate(LABELERS, 1):
                 (t1, t0), (f1, f0) = PRIOR[name]
                 true = (sum(n * post[p] * p[j] for p, n in own.items()) + t1) / (yes + t1 + t0)
-                false = (sum(n * (1 - post[p]) * p[j] for p, n in own.items()) + f1) / (all_ - yes + f1 + f0)
-                sure[k][name] = (true, false)
-    patterns = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
-    bias, weight = {}, {}
+                false = (sum(n * (1 - post[p]) * p[j] for p, n in own.items()) + f1) / (every - yes + f1 + f0)
+                sure[k][name] = (true, false) if true >= false else ((true + false) / 2,) * 2
+    return share, sure
+
+
+def fit(counts: dict[Pattern, int], rounds: int = 200) -> Classifier:
+    """EM, then for each kind a logistic classifier of votes and features, trained on the posteriors by Newton's method.
+
+    Every possible pattern of votes, without features, is one more training row, so scarce data follow the priors.
+    """
+    share, sure = estimate(counts, rounds)
+    starts = dict(zip(FEATURES, np.cumsum([1 + len(LABELERS), *FEATURES.values()]).tolist()))
+    width = 1 + len(LABELERS) + sum(FEATURES.values())
+    held = np.array([1e-3] + [HELD["vote"]] * len(LABELERS) + [HELD["feature"]] * sum(FEATURES.values()))
+    bias, weight, values = {}, {}, {}
     for k in EXTRA:
-        w = [0.0] * 4
-        rows = [((1.0, *map(float, v)), _posterior(k, v, share, sure), scaled.get((k, *v), 0.0) + 1.0) for v in patterns]
-        for _ in range(4000):
-            step = [0.0] * 4
-            for x, y, n in rows:
-                p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
-                for j in range(4):
-                    step[j] += n * (y - p) * x[j]
-            w = [a + 4 * s / sum(n for *_, n in rows) - 1e-4 * a for a, s in zip(w, step, strict=True)]
-        bias[k] = w[0]
-        weight |= {(k, name): v for name, v in zip(LABELERS, w[1:], strict=True)}
-    return Classifier(bias, weight, {k: dict(v) for k, v in sure.items()})
-
-
-def vote_counts(docs: DataFrame) -> dict[Pattern, int]:
-    """How often each vote pattern occurs in the corpus; at most 8 rows a kind."""
+        rows = [(p[1:], n) for p, n in counts.items() if p[0] == k and n]
+        votes = [v for v in product((0, 1), repeat=len(LABELERS))]
+        x = np.zeros((len(votes) + len(rows), width))
+        x[:, 0] = 1
+        x[: len(votes), 1 : 1 + len(LABELERS)] = votes
+        y, n = np.array([_posterior(k, v, share, sure) for v in votes] + [0.0] * len(rows)), np.ones(len(x))
+        for i, (pattern, count) in enumerate(rows, len(votes)):
+            own = pattern[: len(LABELERS)]
+            x[i, 1 : 1 + len(LABELERS)] = own
+            for name, value in zip(FEATURES, pattern[len(LABELERS) :], strict=False):
+                x[i, starts[name] + value] = 1
+            y[i], n[i] = _posterior(k, own, share, sure), count
+        w = np.zeros(width)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (n * (y - p)) - held * w
+            bend = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(held)
+            step = np.linalg.solve(bend, slope)
+            w = w + step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < 1e-9:
+                break
+        bias[k] = float(w[0])
+        weight |= {(k, name): float(v) for name, v in zip(LABELERS, w[1:], strict=False)}
+        values |= {(k, name): [float(v) for v in w[starts[name] : starts[name] + size]] for name, size in FEATURES.items()}
+    return Classifier(bias, weight, values, sure)
+
+
+def vote_counts(found: DataFrame) -> dict[Pattern, int]:
+    """How often each pattern of votes and features occurs among the candidates of the corpus (``extra``)."""
     # The outer form: for the inner one the optimiser would filter by the array's size and so search every text twice.
-    rows = candidates(base(docs)).select(F.explode_outer("extra").alias("e")).select("e.*").where("kind IS NOT NULL").groupBy("kind", *LABELERS).count().collect()
-    return {(r["kind"], *(r[n] for n in LABELERS)): r["count"] for r in rows}
+    rows = found.select(F.explode_outer("extra").alias("e")).select("e.*").where("kind IS NOT NULL").groupBy("kind", *_COLUMNS).count().collect()
+    return {(r["kind"], *(r[n] for n in _COLUMNS)): r["count"] for r in rows}
 
 
-def find(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, an array of spans for each base kind, and ``added``: the candidates that the classifier takes."""
-    score = lambda s: model.score(s["kind"], {n: s[n] for n in LABELERS})
-    taken = candidates(base(docs)).select("doc_id", "text", *BASE, F.filter("extra", lambda s: score(s) > 0).alias("taken"))
-    names = _of_kind("name", F.col("taken"))
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text, an array of spans for each base kind, and ``extra``, the candidates."""
+    return candidates(base(docs))
+
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        free = (F.size(acc) == 0) | (last["end"] <= s["start"])
-        better = score(s) > score(last)
-        return F.when(free, F.concat(acc, F.array(s))).when(better, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(s))).otherwise(acc)
+def decided(found: DataFrame, model: Classifier) -> DataFrame:
+    """``found`` with ``added``, the candidates that the classifier takes, instead of ``extra``."""
+    taken = F.filter("extra", lambda s: model.score(s) > 0)
+    names = _of_kind("name", taken)
+    scored = F.transform(names, lambda s: F.struct(s.alias("s"), model.score(s).alias("score")))
 
-    chosen = F.when(F.size(names) > 1, F.concat(F.filter("taken", lambda s: s["kind"] != "name"), F.aggregate(names, F.slice(names, 1, 0), add))).otherwise(F.col("taken"))
-    return taken.select("doc_id", "text", *BASE, chosen.alias("added"))
+    # Names in order: the last one taken gives way to one that overlaps it and scores higher.
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        free = last["s"].isNull() | (last["s"]["end"] <= x["s"]["start"])
+        put = F.when(free & last["s"].isNotNull(), F.array(last["s"])).otherwise(F.array().cast(_EXTRA))
+        return F.when(free | (x["score"] > last["score"]), x).otherwise(last), put
+
+    none = F.lit(None).cast(f"struct<s:{_EXTRA[6:-1]},score:double>")
+    # One more item pushes out the last name.
+    end = F.array(F.struct(F.named_struct(*[v for n, t in [("kind", "string"), ("start", "bigint"), ("end", "bigint"), *[(c, "int") for c in _COLUMNS]] for v in (F.lit(n), F.lit(2**62).cast(t) if n in ("start", "end") else F.lit(None).cast(t))]).alias("s"), F.lit(0.0).alias("score")))
+    chosen = scanned(F.concat(scored, end), F.struct(none["s"].alias("s"), none["score"].alias("score")), _EXTRA, step)
+    out = found.withColumn("_taken", taken)
+    chosen_names = let(F.col("_taken"), lambda _: chosen)
+    return out.withColumn("added", F.when(F.size(F.filter("_taken", lambda s: s["kind"] == "name")) > 1, F.concat(F.filter("_taken", lambda s: s["kind"] != "name"), chosen_names)).otherwise(F.col("_taken"))).drop("extra", "_taken")
+
+
+def find(docs: DataFrame, model: Classifier) -> DataFrame:
+    """doc_id, text, an array of spans for each base kind, and ``added``: the candidates that the classifier takes."""
+    return decided(spans(docs), model)
 
 
 def _written(kind: str, spans: Column) -> Column:
@@ -260,8 +405,9 @@ def _of_kind(kind: str, spans: Column) -> Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = find(docs, fit(vote_counts(docs)))
+    bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in BASE]
+    spotted = written(spans(table(spark, sf_dir, "documents")).select("doc_id", *bare, "extra"), "spans")
+    found = decided(spotted, fit(vote_counts(spotted)))
     plain = F.flatten(F.array(*[_written(k, F.col(k)) for k in BASE]))
     added = F.flatten(F.array(*[_written(k, _of_kind(k, F.col("added"))) for k in EXTRA]))
     return found.select(
@@ -274,16 +420,16 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(found: DataFrame) -> DataFrame:
-    """doc_id and text with each span of ``find`` replaced by its kind in brackets; of overlapping spans the first counts."""
+    """doc_id and text with each span of ``find`` replaced by its kind in brackets; spans that overlap go together under the first one."""
     def shape(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     every = F.concat(*map(shape, BASE), F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out")))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        put = F.array(between(F.col("_blocks"), at, s["start"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.greatest(at, s["end"]), F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(put)
 
-    done = found.withColumn("cut", F.aggregate(F.array_sort(every), start, add))
-    return done.select("doc_id", F.concat(F.array_join("cut.out", ""), F.substr("text", (F.col("cut.at") + 1).cast("int"))).alias("text"))
+    cut = found.withColumn("_blocks", blocks_of(F.col("text"))).withColumn("_cut", scanned(F.array_sort(every), F.lit(0).cast("long"), "array<string>", step))
+    at = F.coalesce(F.array_max(F.transform(every, lambda s: s["end"])), F.lit(0))
+    return cut.select("doc_id", F.concat(F.array_join("_cut", ""), F.substr("text", (at + 1).cast("int"))).alias("text"))
