@@ -46,6 +46,13 @@ def bigrams(toks: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def bigram_hashes(toks: Column) -> Column:
+    """64-bit hashes of the distinct pairs of neighbouring tokens. ``toks`` should be a column, as it is read several times."""
+    n = F.greatest(F.size(toks) - 1, F.lit(0))
+    hashed = F.array_distinct(F.zip_with(F.slice(toks, 1, n), F.slice(toks, 2, n), lambda a, b: F.xxhash64(a, b)))
+    return F.when(F.size(toks) >= 2, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
 def jaccard(left: Column, right: Column) -> Column:
     shared = F.size(F.array_intersect(left, right))
     union = F.size(left) + F.size(right) - shared

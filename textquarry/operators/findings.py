@@ -7,6 +7,7 @@ the order of patterns and are cut at twelve; unrecognised references are not cut
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,13 @@ ASSISTANT = [
     (r"(?m)^\s*(?:prompt|instruction)s?\s*:", "prompt remnant"),
     (r"(?m)^\s*={2,}\s*Q\s*\d+\s*={2,}\s*$", "prompt remnant"),
 ]
+#: For each of these patterns, in the same order, words in lower case of which a match holds at least one.
+_HOLDS = [
+    ("model",), ("m an ai",), ("large language model",), ("personal", "experiences", "feelings", "opinions"), ("cannot browse",), ("my training", "my knowledge"),
+    ("here's ", "here is "), ("here's ", "here is "), ("here's how", "here is how"), ("certainly", "sure", "absolutely", "of course"), ("let me know",),
+    ("would you like me",), ("hope this helps",), ("feel free to",), ("rewritten", "rephrased", "simplified", "expanded"), ("word count",),
+    ("english",), ("this", "it"), ("as if",), ("answer in", "respond in"), (" words",), ("prompt", "instruction"), ("==",),
+]
 #: Kinds of markdown and their patterns.
 MARKDOWN = [
     ("markdown heading", r"(?m)^[ \t]*#{2,6}[ \t]+\S"),
@@ -94,6 +102,7 @@ TERMS = [
     "hazard identification", "informed consent", "mandatory reporting", "person conducting a business or undertaking", "safe work method statement",
     "continuous improvement", "scope of practice", "confidentiality", "open disclosure",
 ]
+#: Words of the first person, and words of forms.
 FIRST_PERSON = r"(?i)\b(?:I|I'?m|I'?ve|my|we|we'?re|our|me|us)\b"
 FORM = r"(?i)\b(?:declare|declaration|assessment task|cover sheet|student id|reasonably adjust|registered training organisation|plagiarism and cheating|not yet satisfactory|instructions to the student)\b"
 
@@ -113,10 +122,14 @@ def _trim(c: Column) -> Column:
 
 
 def assistant(text: Column, t: Thresholds = DEFAULT) -> Column:
-    def found(pattern: str, label: str) -> Column:
-        return F.transform(matches_at(text, f"(?id){pattern}"), lambda m: _finding("assistant_artefact", label, "strong", _trim(m["text"]), m["offset"]))
+    low = F.lower(text)
+
+    def found(pattern: str, label: str, holds: tuple[str, ...]) -> Column:
+        spans = F.transform(matches_at(text, f"(?id){pattern}"), lambda m: _finding("assistant_artefact", label, "strong", _trim(m["text"]), m["offset"]))
+        # A search for plain words is far cheaper than a pattern, and mostly settles it.
+        return F.when(reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in holds]), spans).otherwise(F.array().cast(FINDING))
 
-    return F.slice(F.flatten(F.array(*[found(p, label) for p, label in ASSISTANT])), 1, t.per_check)
+    return F.slice(F.flatten(F.array(*[found(p, label, holds) for (p, label), holds in zip(ASSISTANT, _HOLDS, strict=True)])), 1, t.per_check)
 
 
 def markdown(text: Column) -> Column:

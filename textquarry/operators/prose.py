@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textquarry.config import DEFAULT, Thresholds
 from textquarry.functions.text import matches_at, normalise, text_or_empty, word_count
 
-#: A heading of references on its own line, with all that follows; and a line shaped like a citation.
+#: A heading of references on its own line, with all that follows; and a line shaped like a citation.
 _HEADING = r"(?imsdU)^[ \t]*(?:references|reference list|bibliography|works cited|citations)[ \t:]*$.*"
 _CITATION = r"^\s*[A-Z][\p{L}'-]+,\s*[A-Z]\.(?:\s*[A-Z]\.)*.*\(\d{4}[a-z]?\)"
 

@@ -14,29 +14,25 @@ from textquarry.config import DEFAULT, Thresholds
 from textquarry.functions.text import text_or_empty, trimmed, word_count
 
 #: The words of labelled markers, as a pattern. Possessive, so that "Section 28 of" is not cut to "Section 2".
-_WORD = r"(?:(?:Question|Activity|Task|Section|Part|Answer|Response)\s++|Q\.?\s*+)"
-LABELLED = rf"^[ \t\f]*+(?i:{_WORD})\d++[\s:.\-)]*+(?![a-z])"
+#: A marker lies within its line, so white space in it is any but a line feed.
+_GAP = r"[ \t\x0B\f\r]"
+_WORD = rf"(?:(?:Question|Activity|Task|Section|Part|Answer|Response){_GAP}++|Q\.?{_GAP}*+)"
+LABELLED = rf"^[ \t\f]*+(?i:{_WORD})\d++[:.\-) \t\x0B\f\r]*+(?![a-z])"
 _LABEL_PARTS = r"^[ \t\f]*+(?i:(Question|Activity|Task|Section|Part|Answer|Response|Q\.?))\s*+(\d++)"
-NUMBERED = r"^[ \t]*(\d{1,2})[.)]\s"
+NUMBERED = rf"^[ \t]*(\d{{1,2}})[.)]{_GAP}"
 _SECTIONS = "array<struct<num:int,label:string,text:string>>"
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text_or_empty(text), r"\r\n?", "\n"), "\n", -1)
+def _whole_lines(text: Column) -> Column:
+    return F.regexp_replace(text_or_empty(text), r"\r\n?", "\n")
 
 
-def _grouped(lines: Column, marker: str, head) -> Column:
-    """Sections from marked lines, in one fold over the lines: a marked line opens a section, another one continues it."""
-    empty = F.array().cast("array<array<string>>")
-
-    def add(acc: Column, line: Column) -> Column:
-        opened = F.concat(acc, F.array(F.array(line)))
-        last = F.size(acc)
-        longer = F.concat(F.slice(acc, 1, F.greatest(last - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, F.greatest(last, F.lit(1))), F.array(line))))
-        return F.when(line.rlike(marker), opened).when(last == 0, acc).otherwise(longer)
-
-    chunks = F.aggregate(lines, empty, add)
-    return F.transform(chunks, lambda c: F.struct(*head(c[0]), F.array_join(c, "\n").alias("text")))
+def _grouped(text: Column, marker: str, head) -> Column:
+    """Sections from marked lines: the text is cut before each marked line, and what stands before the first one goes."""
+    pieces = F.split(text, f"(?md)(?={marker})", -1)
+    # The line feed in front of the next marked line belongs to no section.
+    bare = F.transform(pieces, lambda x, i: F.when(i < F.size(pieces) - 1, F.regexp_replace(x, r"\n\z", "")).otherwise(x))
+    return F.transform(F.filter(bare, lambda x: x.rlike(marker)), lambda x: F.struct(*head(x), x.alias("text")))
 
 
 def _labelled_head(line: Column) -> list[Column]:
@@ -52,9 +48,8 @@ def _numbered_head(line: Column) -> list[Column]:
 def marked(text: Column, kind: str) -> Column:
     """All sections by one kind of marker ("labelled" or "numbered"), short ones included."""
     pattern, head = (LABELLED, _labelled_head) if kind == "labelled" else (NUMBERED, _numbered_head)
-    found = _grouped(_lines(text), pattern, head)
-    # Texts without a marked line are not folded.
-    return F.when(text_or_empty(text).rlike(f"(?m){pattern}"), found).otherwise(F.array().cast(_SECTIONS))
+    found = _grouped(_whole_lines(text), pattern, head)
+    return F.when(_whole_lines(text).rlike(f"(?md){pattern}"), found).otherwise(F.array().cast(_SECTIONS))
 
 
 def split_sections(docs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

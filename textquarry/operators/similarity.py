@@ -3,8 +3,10 @@
 Rows are submissions: cohort, id, normtext. All analysed rows of a cohort count towards its size and its template; the
 bigrams of the template are taken from every document before any comparison.
 
-Bigrams are joined as 64-bit hashes. A vocabulary of v distinct bigrams in a cohort meets a collision with probability
-v**2 / 2**65; the hash is salted by nothing, so a test can count distinct strings against distinct hashes.
+Bigrams are 64-bit hashes, made inside one array a document; a vocabulary of v distinct bigrams in a cohort meets a
+collision with probability v**2 / 2**65. The template is one array a cohort: a bigram of it stands in a third of at most 60
+sampled documents, so it holds at most three times the bigrams of an average one. It is sent to every executor if the
+templates have at most ``SENT_TEMPLATE`` bigrams together, else joined by cohort.
 """
 
 from __future__ import annotations
@@ -13,20 +15,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.config import DEFAULT, Thresholds
-from textquarry.functions.text import band, bigrams, submission_score, template_threshold, tokens
+from textquarry.functions.text import band, bigram_hashes, submission_score, template_threshold, tokens
 from textquarry.plans.tables import written
 
 
+SENT_TEMPLATE = 2_000_000
+
+
 def comparable(subs: DataFrame, strict: bool = False, t: Thresholds = DEFAULT) -> DataFrame:
     """Analysed rows long enough to compare; ``strict`` asks for more than the least length, as the class report does."""
     size = F.octet_length("normtext")
     return subs.where((F.col("status") == "analysed") & (size > t.compare_bytes if strict else size >= t.compare_bytes))
 
 
+def bigram_sets(subs: DataFrame) -> DataFrame:
+    """(cohort, id, hs): the hashes of each document's distinct bigrams."""
+    split = subs.where("normtext IS NOT NULL").select("cohort", "id", tokens(F.col("normtext")).alias("toks"))
+    return split.select("cohort", "id", bigram_hashes(F.col("toks")).alias("hs"))
+
+
 def hashed_bigrams(subs: DataFrame) -> DataFrame:
     """(cohort, id, h): the distinct bigrams of each document, hashed. The exploded array is distinct already."""
-    found = subs.where("normtext IS NOT NULL").select("cohort", "id", F.explode(bigrams(tokens(F.col("normtext")))).alias("bigram"))
-    return found.select("cohort", "id", F.xxhash64("bigram").alias("h"))
+    return bigram_sets(subs).select("cohort", "id", F.explode("hs").alias("h"))
 
 
 def stride_sample(subs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
@@ -54,35 +64,46 @@ def template(subs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return counts.join(sizes, "cohort").where(F.col("df") >= template_threshold(F.col("n"), t)).select("cohort", "h")
 
 
-def own_sets(subs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """(cohort, id, h, size): what a document says beyond the template, in cohorts of three and more."""
+def own_sets(subs: DataFrame, t: Thresholds = DEFAULT, strict: bool = False) -> DataFrame:
+    """(cohort, id, hs): what a document says beyond the template, in cohorts of three and more; documents with nothing left are out."""
     sizes = subs.where("normtext IS NOT NULL").groupBy("cohort").agg(F.count("*").alias("n")).where(F.col("n") >= t.cohort_minimum)
-    rows = hashed_bigrams(comparable(subs, t=t).join(sizes.select("cohort"), "cohort", "left_semi")).join(template(subs, t), ["cohort", "h"], "left_anti")
-    totals = rows.groupBy("cohort", "id").agg(F.count("*").alias("size"))
-    return rows.join(totals, ["cohort", "id"])
+    common = written(template(subs, t), "template")
+    few = common.count() <= SENT_TEMPLATE
+    common = common.groupBy("cohort").agg(F.collect_list("h").alias("common"))
+    sets = bigram_sets(comparable(subs, strict, t)).join(F.broadcast(sizes.select("cohort")) if few else sizes.select("cohort"), "cohort", "left_semi")
+    left = F.when(F.col("common").isNull(), F.col("hs")).otherwise(F.array_except("hs", "common"))
+    return sets.join(F.broadcast(common) if few else common, "cohort", "left").select("cohort", "id", left.alias("hs")).where("size(hs) > 0")
 
 
-def pairs(subs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def pairs(subs: DataFrame, t: Thresholds = DEFAULT, strict: bool = False, new: DataFrame | None = None) -> DataFrame:
     """(cohort, a, b, similarity) of all pairs a < b with similarity of at least 0.35 after rounding to four places.
 
     Prefix filtering: of two sets this similar, at least one bigram is shared among the rarest
     |A| - ceil(bound * |A|) + 1 of either, so candidates are joined on these alone, and the most frequent bigrams never
-    meet. Sizes are compared in the join. Candidates are then confirmed on the whole sets.
+    meet. Sizes are compared in the join. Candidates are then confirmed on the whole sets. With ``new`` (id), only pairs
+    with one of these ids are made.
     """
     bound = t.similarity - 0.00005
-    sets = written(own_sets(subs, t), "own-bigrams")
-    df = sets.groupBy("cohort", "h").agg(F.count("*").alias("df"))
-    # A bigram that only one document has can't be shared, but it holds its place in the order.
-    listed = sets.join(df, ["cohort", "h"]).groupBy("cohort", "id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ordered"))
-    whole = written(listed.select("cohort", "id", F.size("ordered").alias("size"), F.transform("ordered", lambda x: x["h"]).alias("hs"), F.transform(F.filter(F.slice("ordered", 1, F.size("ordered") - F.ceil(F.size("ordered") * bound).cast("int") + 1), lambda x: x["df"] > 1), lambda x: x["h"]).alias("prefix")), "own-sets")
-    keys = whole.select("cohort", "id", "size", F.explode("prefix").alias("h"))
+    sets = written(own_sets(subs, t, strict).withColumn("size", F.size("hs")), "own-bigrams")
+    # How many documents have a bigram; one that only one has can't be shared, but it holds its place in the order.
+    rows = sets.select("cohort", "id", "size", F.explode("hs").alias("h"))
+    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("cohort", "h"))).where("df > 1")
+    shared = counted.groupBy("cohort", "id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    length = F.col("size") - F.ceil(F.col("size") * bound).cast("int") + 1 - (F.col("size") - F.size("shared"))
+    prefix = shared.where(length > 0).select("cohort", "id", "size", F.explode(F.slice("shared", F.lit(1), length)).alias("x"))
+    keys = written(prefix.select("cohort", "id", "size", F.col("x.h").alias("h")), "prefixes")
     side = lambda x, name: x.select("cohort", "h", F.col("id").alias(name), F.col("size").alias(f"size_{name}"))
-    met = side(keys, "a").join(side(keys, "b"), ["cohort", "h"]).where((F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= bound * F.greatest("size_a", "size_b")))
-    candidates = met.select("cohort", "a", "b").distinct()
-    full = lambda name: whole.select("cohort", F.col("id").alias(name), F.col("hs").alias(f"hs_{name}"))
+    sizes_fit = F.least("size_a", "size_b") >= bound * F.greatest("size_a", "size_b")
+    if new is None:
+        met = side(keys, "a").join(side(keys, "b"), ["cohort", "h"]).where((F.col("a") < F.col("b")) & sizes_fit)
+        candidates = met.select("cohort", "a", "b").distinct()
+    else:
+        met = side(keys.join(new.select("id").distinct(), "id", "left_semi"), "a").join(side(keys, "b"), ["cohort", "h"]).where((F.col("a") != F.col("b")) & sizes_fit)
+        candidates = met.select("cohort", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    full = lambda name: sets.select("cohort", F.col("id").alias(name), F.col("hs").alias(f"hs_{name}"))
     both = candidates.join(full("a"), ["cohort", "a"]).join(full("b"), ["cohort", "b"])
-    shared = F.size(F.array_intersect("hs_a", "hs_b"))
-    scored = both.select("cohort", "a", "b", F.round(shared / (F.size("hs_a") + F.size("hs_b") - shared), 4).alias("similarity"))
+    common = both.withColumn("n", F.size(F.array_intersect("hs_a", "hs_b")))
+    scored = common.select("cohort", "a", "b", F.round(F.col("n") / (F.size("hs_a") + F.size("hs_b") - F.col("n")), 4).alias("similarity"))
     return written(scored.where(F.col("similarity") >= t.similarity), "pairs")
 
 

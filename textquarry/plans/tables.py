@@ -12,9 +12,11 @@ _LOCAL: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is not set (one machine, as in tests) a temporary folder is made."""
+    """``spark.checkpoint.dir``; only where it is not set and all runs in one process (tests) a temporary folder is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="textquarry-"))
         root = _LOCAL[0]
