@@ -37,6 +37,6 @@ def test_sections_equal_sql_on_the_test_bed(spark):
 def test_all_kinds_of_markdown_against_brute_force(spark):
     texts = {r.id: r.text or "" for r in submissions(spark, "/root/testdata/sf0.001").collect()}
     want = {(d, label, n) for d, t in texts.items() for label, p in MARKDOWN if (n := len(re.findall(p, t)))}
-    found = [tuple(r) for r in Q.QUERIES["markdown_kinds"](spark, "/root/testdata/sf0.001").collect()]
+    found = [tuple(r) for r in Q.QUERIES["markdown_findings"](spark, "/root/testdata/sf0.001").collect()]
     assert set(found) == want and len(found) == len(want)
     assert any(label == "markdown italic" for _, label, _ in found)

@@ -58,11 +58,11 @@ def _words(c: str) -> str:
 
 
 def _count(c: str, pattern: str, options: str = "") -> str:
-    """How many matches; for one-character classes the loss of length is taken, which is faster."""
+    """How many matches."""
     return f"len(regexp_extract_all({c}, '{pattern}'{options}))"
 
 
-@query("normalised_text", f"{_CTE} SELECT id, {_norm('text')} AS normtext FROM subs WHERE id % 31 <> 0 OR true")
+@query("normalised_text", f"{_CTE} SELECT id, {_norm('text')} AS normtext FROM subs")
 def normalised_text(spark, sf_dir):
     return submissions(spark, sf_dir).select("id", T.normalise(F.col("text")).alias("normtext"))
 
@@ -205,27 +205,30 @@ _LINES = f"""{_CTE}, flat AS (SELECT id, replace(replace(text, chr(13) || chr(10
   secs AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k)::INT AS section_num, label, num, body, len({_words('body')})::BIGINT AS wordcount FROM chosen)"""
 
 
-@query("labelled_sections", f"{_LINES} SELECT id, section_num, label, num, md5(body) AS body_md5 FROM secs WHERE id % 3 = 0")
+_MARKER_OF = "CASE WHEN label = 'Full Document' THEN 'whole' WHEN regexp_matches(body, '^[ \\t]*[0-9]') THEN 'numbered' ELSE 'labelled' END"
+
+
+def _sections_by(spark, sf_dir, kind: str | None = None):
+    """Sections of all submissions with the kind of marker that was chosen for them."""
+    rows = S.section_rows(submissions(spark, sf_dir), "id")
+    marker = F.when(F.col("label") == "Full Document", "whole").when(F.col("text").rlike("^[ \\t]*[0-9]"), "numbered").otherwise("labelled")
+    found = rows.select("id", marker.alias("marker"), "section_num", "label", "num", F.md5("text").alias("body_md5"))
+    return found.where(F.col("marker") == kind).drop("marker") if kind else found
+
+
+@query("labelled_sections", f"{_LINES} SELECT id, section_num, label, num, md5(body) AS body_md5 FROM secs WHERE {_MARKER_OF} = 'labelled'")
 def labelled_sections(spark, sf_dir):
-    rows = S.section_rows(submissions(spark, sf_dir).where("id % 3 = 0"), "id")
-    return rows.select("id", "section_num", "label", "num", F.md5("text").alias("body_md5"))
+    return _sections_by(spark, sf_dir, "labelled")
 
 
-@query("numbered_sections", f"{_LINES} SELECT id, section_num, label, num, md5(body) AS body_md5 FROM secs WHERE id % 3 = 1")
+@query("numbered_sections", f"{_LINES} SELECT id, section_num, label, num, md5(body) AS body_md5 FROM secs WHERE {_MARKER_OF} = 'numbered'")
 def numbered_sections(spark, sf_dir):
-    rows = S.section_rows(submissions(spark, sf_dir).where("id % 3 = 1"), "id")
-    return rows.select("id", "section_num", "label", "num", F.md5("text").alias("body_md5"))
+    return _sections_by(spark, sf_dir, "numbered")
 
 
-@query(
-    "document_sections",
-    f"""{_LINES} SELECT id, CASE WHEN label = 'Full Document' THEN 'whole' WHEN regexp_matches(body, '^[ \\t]*[0-9]') THEN 'numbered' ELSE 'labelled' END AS marker, section_num, label, num, md5(body) AS body_md5 FROM secs""",
-)
+@query("document_sections", f"{_LINES} SELECT id, {_MARKER_OF} AS marker, section_num, label, num, md5(body) AS body_md5 FROM secs")
 def document_sections(spark, sf_dir):
-    """The sections of every submission with the kind of marker that was chosen for it."""
-    rows = S.section_rows(submissions(spark, sf_dir), "id")
-    marker = F.when(F.col("label") == "Full Document", "whole").when(F.col("text").rlike("^[ \\t]*[0-9]"), "numbered").otherwise("labelled")
-    return rows.select("id", marker.alias("marker"), "section_num", "label", "num", F.md5("text").alias("body_md5"))
+    return _sections_by(spark, sf_dir)
 
 
 @query("section_fallback", f"{_LINES} SELECT label = 'Full Document' AS whole, count(*) AS n_sections, count(DISTINCT id) AS n_documents FROM secs GROUP BY 1")
@@ -272,19 +275,21 @@ def assistant_findings(spark, sf_dir):
     return rows.groupBy("id", F.col("f.label").alias("label")).agg(F.count("*").alias("n"))
 
 
-#: Italics need a look-behind, which DuckDB's matcher lacks; tests hold that kind against brute force.
-_MARKDOWN = f"hit AS ({_hits([(p, label) for label, p in FI.MARKDOWN if label != 'markdown italic'])})"
+#: Italics need a look-behind, which DuckDB's matcher lacks. No match holds a star inside, so a match is what stands between
+#: two neighbouring stars; of a row of neighbouring ones every other counts, as the first takes the star of the second.
+_ITALIC = """star AS (SELECT id, list_transform(string_split(text, '*'), lambda x: x) AS seg FROM subs),
+  inner_ AS (SELECT id, unnest(range(2, len(seg))) AS i, seg FROM star),
+  italic_ok AS (SELECT id, i, seg[i] AS m, list_sum(list_transform(seg[1:i - 1], lambda x: strlen(x) + 1)) - 1 AS pos FROM inner_
+    WHERE length(seg[i]) BETWEEN 2 AND 60 AND NOT contains(seg[i], chr(10))
+      AND ((i = 2 AND seg[1] = '') OR regexp_matches(seg[i - 1], '[^0-9A-Za-z_]$')) AND ((i = len(seg) - 1 AND seg[i + 1] = '') OR regexp_matches(seg[i + 1], '^[^0-9A-Za-z_]'))),
+  italic_run AS (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM italic_ok),
+  italic AS (SELECT id, '*' || m || '*' AS m, pos::BIGINT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY id, run ORDER BY i) AS k FROM italic_run) WHERE k % 2 = 1)"""
+_MARKDOWN = f"""{_ITALIC}, hit AS ({_hits([(p, label) for label, p in FI.MARKDOWN if label != 'markdown italic'])}
+  UNION ALL SELECT id, 2, 'markdown italic', count(*) FROM italic GROUP BY id)"""
 
 
 @query("markdown_findings", f"{_CTE}, {_MARKDOWN} SELECT id, label, n::BIGINT AS n FROM hit WHERE n > 0")
 def markdown_findings(spark, sf_dir):
-    rows = submissions(spark, sf_dir).select("id", F.explode(FI.markdown(F.col("text"))).alias("f")).where("f.label <> 'markdown italic'")
-    return rows.select("id", F.col("f.label").alias("label"), F.col("f.count").cast("long").alias("n"))
-
-
-@query("markdown_kinds")
-def markdown_kinds(spark, sf_dir):
-    """Findings of all kinds of Markdown, italics too."""
     rows = submissions(spark, sf_dir).select("id", F.explode(FI.markdown(F.col("text"))).alias("f"))
     return rows.select("id", F.col("f.label").alias("label"), F.col("f.count").cast("long").alias("n"))
 
@@ -304,19 +309,55 @@ def legislation_findings(spark, sf_dir):
     return rows.groupBy("id", F.col("finding.check").alias("check")).agg(F.count("*").alias("n"))
 
 
-#: For the tally italics count too: text without its bold spans and bullets is searched with the neighbours as groups.
-@query("findings_tally")
+def _placed(patterns: list[tuple[int, str, str]]) -> str:
+    """Rows (id, p, label, k, m, at) for DuckDB: each match with its number and its offset in bytes."""
+    quoted = lambda p: p.replace("'", "''")
+    parts = " UNION ALL ".join(
+        f"SELECT id, {k} AS p, '{label}' AS label, regexp_extract_all(text, '{quoted(p)}') AS ms, regexp_split_to_array(text, '{quoted(p)}') AS gaps FROM subs WHERE regexp_matches(text, '{quoted(p)}')" for k, p, label in patterns
+    )
+    return f"""(SELECT id, p, label, k, ms[k] AS m, (list_sum(list_transform(gaps[1:k], lambda x: strlen(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: strlen(x))), 0))::BIGINT AS pos
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM ({parts})))"""
+
+
+_TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
+_ASSISTANT_AT = _placed([(k, ("(?im)" if p.startswith("(?m)") else "(?i)") + p.removeprefix("(?m)"), x) for k, (p, x) in enumerate(FI.ASSISTANT)])
+_MARKDOWN_AT = _placed([(k, p, label) for k, (label, p) in enumerate(FI.MARKDOWN) if label != "markdown italic"])
+_LAW_AT = _placed([(0, FI.CITATION, "law")])
+#: All findings: assistant phrases up to twelve, one of each kind of Markdown, and citations, each title and year once.
+_FINDINGS = f"""{_ITALIC}, phrase AS (SELECT id, 'assistant_artefact' AS "check", label, 'strong' AS severity, trim(m, {_TRIM}) AS matched, pos, NULL::BIGINT AS n FROM
+    (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, k) AS rn FROM {_ASSISTANT_AT}) WHERE rn <= 12),
+  mark AS (SELECT id, 'markdown_contamination' AS "check", label, 'notable' AS severity, trim(arg_min(m, k), {_TRIM}) AS matched, arg_min(pos, k) AS pos, count(*) AS n FROM
+    (SELECT id, label, k, m, pos FROM {_MARKDOWN_AT} UNION ALL SELECT id, 'markdown italic', pos, m, pos FROM italic) GROUP BY id, label),
+  cited AS (SELECT id, k AS place, pos, m, trim(regexp_replace(regexp_replace(regexp_replace(m, '\\s+(Act|Regulations?|Law)\\s+(\\(\\s*[A-Za-z]{{2,3}}\\s*\\)\\s*)?[0-9]{{4}}$', ''), '\\s+', ' ', 'g'), '(?i)^((of|the|under|in|to|by|per|with|a|an|and|see|from)\\s+)+', '')) AS short,
+    regexp_replace(regexp_extract(m, '\\s(Act|Regulations?|Law)\\s+(\\(\\s*[A-Za-z]{{2,3}}\\s*\\)\\s*)?[0-9]{{4}}$', 1), '^Regulations?$', 'Regulations') AS kind, right(m, 4)::INT AS year FROM {_LAW_AT}),
+  titled AS (SELECT id, lower(short || ' ' || kind) AS title, year, min(place) AS place, arg_min(pos, place) AS pos, trim(arg_min(m, place), {_TRIM}) AS matched FROM cited WHERE short <> '' GROUP BY 1, 2, 3),
+  known(title, years) AS (VALUES {', '.join(f"('{t}', [{', '.join(map(str, y))}])" for t, y, _ in FI.REGISTRY)}),
+  law AS (SELECT t.id, t.place, CASE WHEN k.title IS NULL THEN 'reference_unrecognised' ELSE 'reference_wrong_year' END AS "check", CASE WHEN k.title IS NULL THEN 'not in the recognised list' ELSE 'real Act, year does not exist' END AS label,
+    CASE WHEN k.title IS NULL THEN 'notable' ELSE 'strong' END AS severity, matched, pos, NULL::BIGINT AS n FROM titled t LEFT JOIN known k ON t.title = k.title WHERE k.title IS NULL OR NOT list_contains(k.years, t.year)),
+  every AS (SELECT * FROM phrase UNION ALL SELECT * FROM mark UNION ALL SELECT id, "check", label, severity, matched, pos, n FROM law)"""
+_TALLY = "SELECT id, count(*) FILTER (severity = 'strong') AS n_strong, count(*) FILTER (severity = 'notable') AS n_notable, count(*) FILTER (severity = 'context') AS n_context FROM every GROUP BY id"
+
+
+@query("findings_tally", f"{_CTE}, {_FINDINGS}, t AS ({_TALLY}) SELECT s.id, coalesce(n_strong, 0)::BIGINT AS n_strong, coalesce(n_notable, 0)::BIGINT AS n_notable, coalesce(n_context, 0)::BIGINT AS n_context FROM subs s LEFT JOIN t USING (id)")
 def findings_tally(spark, sf_dir):
     rows = FI.text_findings(submissions(spark, sf_dir).select("id", "text"), "id")
     return rows.select("id", *FI.tally(F.col("findings")))
 
 
-@query("findings_sorted")
+@query("findings_sorted", f"""{_CTE}, {_FINDINGS} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY CASE severity WHEN 'strong' THEN 0 WHEN 'notable' THEN 1 ELSE 2 END, pos, "check", label, matched) - 1)::INT AS place, "check", label, severity, matched, pos::INT AS "offset", n::INT AS "count" FROM every""")
 def findings_sorted(spark, sf_dir):
-    """Every finding with its place in the list and its quoted evidence (byte windows are not SQL)."""
+    """Every finding with its place in the list, its matched text and its offset in bytes."""
+    rows = FI.text_findings(submissions(spark, sf_dir).select("id", "text"), "id")
+    flat = rows.select("id", F.posexplode("findings").alias("place", "f"))
+    return flat.select("id", "place", "f.check", "f.label", "f.severity", "f.matched", "f.offset", "f.count")
+
+
+@query("findings_evidence")
+def findings_evidence(spark, sf_dir):
+    """The quoted evidence of every finding (byte windows are not SQL; tests hold them against brute force)."""
     rows = FI.text_findings(submissions(spark, sf_dir).select("id", "text"), "id")
     flat = rows.select("id", "text", F.posexplode("findings").alias("place", "f"))
-    return flat.select("id", "place", "f.check", "f.label", "f.severity", "f.matched", "f.offset", FI.evidence("text", "f.offset").alias("evidence"))
+    return flat.select("id", "place", FI.evidence("text", "f.offset").alias("evidence"))
 
 
 _TERMS = "[" + ", ".join(f"'{t}'" for t in FI.TERMS) + "]"
@@ -327,12 +368,33 @@ def verification_terms(spark, sf_dir):
     return submissions(spark, sf_dir).select("id", F.array_join(FI.known_terms(F.col("text")), ",").alias("terms"))
 
 
-@query("longest_sentence")
+_EDGE_A, _EDGE_B = "(^|[^\\pL\\pN_])", "($|[^\\pL\\pN_])"
+_BARE = lambda p: p.removeprefix("(?i)").removeprefix("\\b").removesuffix("\\b").replace("'", "''")
+#: The longest fitting sentence of each text; after the white space is collapsed a sentence ends at its mark and one space.
+_SENTENCE = f"""flat_text AS (SELECT id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM subs),
+  sentences AS (SELECT id, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT id, string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM flat_text)),
+  fitting AS (SELECT * FROM sentences WHERE len(regexp_extract_all(s, '[A-Za-z''](?:[A-Za-z''-]*[A-Za-z''])?')) BETWEEN 18 AND 60
+    AND regexp_matches(s, '(?i){_EDGE_A}{_BARE(FI.FIRST_PERSON)}{_EDGE_B}') AND NOT regexp_matches(s, '{_EDGE_A}[A-Z]{{3,}}{_EDGE_B}') AND NOT regexp_matches(s, '(?i){_EDGE_A}{_BARE(FI.FORM)}{_EDGE_B}')),
+  longest AS (SELECT u.id, coalesce((SELECT f.s FROM fitting f WHERE f.id = u.id ORDER BY strlen(f.s) DESC, f.i LIMIT 1), '') AS sentence FROM subs u)"""
+
+
+@query("longest_sentence", f"{_CTE}, {_SENTENCE} SELECT id, sentence FROM longest")
 def longest_sentence(spark, sf_dir):
     return submissions(spark, sf_dir).select("id", FI.longest_sentence(F.col("text")).alias("sentence"))
 
 
-@query("verification_questions")
+_ASKED = f"""{_SENTENCE}, first_law AS (SELECT id, arg_min(matched, place) AS cited FROM law GROUP BY id),
+  known_terms AS (SELECT id, list_filter({_TERMS}, lambda p: contains(lower(text), p))[1:2] AS terms FROM subs),
+  asked AS (SELECT s.id, terms, cited, sentence, len(terms) = 0 AND cited IS NULL AND regexp_matches(text, '{_EDGE_A}(?:Act|Regulations?|Standard|Code of Practice)\\s+\\d{{4}}{_EDGE_B}') AS legal
+    FROM subs s JOIN known_terms USING (id) JOIN longest USING (id) LEFT JOIN first_law USING (id)),
+  listed AS (SELECT id, list_concat(list_transform(terms, lambda p: {{'question': 'Please explain the term ' || p || ' in your own words, with an example from your own work.', 'basis': 'term used in the submission'}}),
+    CASE WHEN cited IS NULL THEN [] ELSE [{{'question': 'Where did you find the requirement of ' || cited || ', and what does it ask for?', 'basis': 'reference cited in the submission'}}] END,
+    CASE WHEN legal THEN [{{'question': 'Which source did you use for the legal requirement?', 'basis': 'legal requirement referred to'}}] ELSE [] END,
+    CASE WHEN sentence = '' THEN [] ELSE [{{'question': 'What did you mean by this sentence, and why does it matter: ' || sentence, 'basis': 'sentence taken from the submission'}}] END,
+    [{{'question': 'How did you go about this work: what did you read, draft first, and who helped?', 'basis': 'general'}}])[1:4] AS q FROM asked)"""
+
+
+@query("verification_questions", f"{_CTE}, {_FINDINGS}, {_ASKED} SELECT id, (i - 1)::INT AS place, q[i].question AS question, q[i].basis AS basis FROM (SELECT id, q, unnest(range(1, len(q) + 1)) AS i FROM listed)")
 def verification_questions(spark, sf_dir):
     rows = FI.questions(submissions(spark, sf_dir).select("id", "text"), "id")
     return rows.select("id", F.posexplode("questions").alias("place", "q")).select("id", "place", "q.question", "q.basis")
@@ -514,7 +576,11 @@ def privacy_users(spark, sf_dir):
     return L.privacy_users(subs, subs.withColumn("userid", (F.col("userid") + 1) % 997), "src2")
 
 
-@query("privacy_export")
+@query(
+    "privacy_export",
+    f"""{_LINES}, parts AS (SELECT id, string_agg('{{"section_num":' || section_num || ',"label":' || to_json(label) || ',"wordcount":' || wordcount || '}}', ',' ORDER BY section_num) AS p FROM secs GROUP BY id)
+    SELECT s.id, '{{"id":' || s.id || ',"cohort":' || to_json(s.cohort) || ',"status":' || to_json(s.status) || ',"score":' || s.score || ',"sections":[' || coalesce(p, '') || ']}}' AS json FROM subs s LEFT JOIN parts p ON p.id = s.id WHERE userid = 7""",
+)
 def privacy_export(spark, sf_dir):
     subs = submissions(spark, sf_dir)
     secs = S.section_rows(subs, "id").withColumnRenamed("id", "subid")
@@ -597,7 +663,17 @@ def pdf_extract(spark, sf_dir):
     return extract(as_pdf(submissions(spark, sf_dir).select("id", "text"))).select("path", "method", "text", "error")
 
 
-@query("stream_scores")
+@query(
+    "stream_scores",
+    f"""{_CTE}, arrival AS (SELECT *, row_number() OVER (PARTITION BY userid, cohort, contenthash ORDER BY timecreated, id) AS k FROM subs),
+  kept AS (
+    SELECT id, userid, cohort, contenthash, k, timecreated AS last_kept, true AS keep FROM arrival WHERE k = 1
+    UNION ALL
+    SELECT a.id, a.userid, a.cohort, a.contenthash, a.k, CASE WHEN a.timecreated - p.last_kept >= 86400 THEN a.timecreated ELSE p.last_kept END, a.timecreated - p.last_kept >= 86400
+    FROM arrival a JOIN kept p ON a.userid = p.userid AND a.cohort IS NOT DISTINCT FROM p.cohort AND a.contenthash = p.contenthash AND a.k = p.k + 1),
+  firsts AS (SELECT * FROM subs WHERE id IN (SELECT id FROM kept WHERE keep)), {_SIMILAR.removeprefix(_CTE + ", ").replace("FROM subs", "FROM firsts")}
+    SELECT f.id, round(coalesce(max(similarity), 0) * 100, 2)::DOUBLE AS score, {_BAND.format('round(coalesce(max(similarity), 0) * 100, 2)')} AS level FROM firsts f LEFT JOIN both_ways b ON b.id = f.id GROUP BY f.id""".replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def stream_scores(spark, sf_dir):
     """All submissions through the streaming path, in two files; the merged scores."""
     import tempfile
