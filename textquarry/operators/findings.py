@@ -117,6 +117,11 @@ def _finding(check: Column | str, label: Column | str, severity: Column | str, m
     )
 
 
+def context(label: Column) -> Column:
+    """An observation about the file itself, as a finding: context only, and without a place."""
+    return _finding("file_provenance", label, "context", F.lit(None).cast("string"), F.lit(None))
+
+
 def _trim(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\x00\x0b"))
 

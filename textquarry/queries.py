@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
+from textquarry.operators import analysis as AN
 from textquarry.operators import findings as FI
 from textquarry.operators import lifecycle as L
 from textquarry.operators import prose as P
@@ -231,6 +232,30 @@ def document_sections(spark, sf_dir):
     return _sections_by(spark, sf_dir)
 
 
+_SECTION_PROSE = _PROSE.replace("FROM subs)", "FROM (SELECT id * 100000 + section_num AS id, NULL AS cohort, NULL AS status, body AS text FROM secs WHERE id IN (SELECT id FROM passed)))")
+_GATES = f"""gates AS (SELECT id, text, strlen(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11))) < 40 AS short, CASE WHEN n = 0 THEN 1.0 ELSE l / n END AS ratio
+    FROM (SELECT id, text, {_count('text', '\\p{Latin}')} AS l, {_count('text', '\\pL')} AS n FROM subs)),
+  passed AS (SELECT id FROM gates WHERE NOT short AND ratio >= 0.5)"""
+
+
+def _extracted(spark, sf_dir):
+    """The test bed's texts as a reader gives them."""
+    method, error = F.lit("docx").alias("method"), F.lit(None).cast("string").alias("error")
+    return submissions(spark, sf_dir).select("id", "text", error, method, F.lit(None).cast("map<string,string>").alias("fields"))
+
+
+@query(
+    "section_rows",
+    f"""{_LINES}, {_GATES}, {_SECTION_PROSE}, k AS (SELECT *, id // 100000 AS doc, (id % 100000)::INT AS section_num, len({_words('prose')}) AS wc FROM own)
+    SELECT k.doc AS id, k.section_num, s.label, md5(s.body) AS text_md5, wc::BIGINT AS wordcount, excluded::BIGINT AS excluded_words, CASE WHEN little THEN 'mostly not own prose' ELSE concat_ws(' and ', CASE WHEN no_refs THEN 'reference list' END, CASE WHEN no_quotes THEN 'quoted material' END) END AS reason,
+      CASE WHEN wc >= 8 THEN '' WHEN excluded > 0 THEN 'mostly_not_own_prose' ELSE 'insufficient_text' END AS note FROM k JOIN secs s ON s.id = k.doc AND s.section_num = k.section_num""",
+)
+def analysed_sections(spark, sf_dir):
+    """Sections of the submissions that pass the gates, with their own prose."""
+    _, rows = AN.analysed(_extracted(spark, sf_dir))
+    return rows.select("id", "section_num", "label", F.md5("section_text").alias("text_md5"), F.col("wordcount").cast("long").alias("wordcount"), F.col("excluded_words").cast("long").alias("excluded_words"), F.col("excluded_reason").alias("reason"), "note")
+
+
 @query("section_fallback", f"{_LINES} SELECT label = 'Full Document' AS whole, count(*) AS n_sections, count(DISTINCT id) AS n_documents FROM secs GROUP BY 1")
 def section_fallback(spark, sf_dir):
     rows = S.section_rows(submissions(spark, sf_dir), "id")
@@ -360,6 +385,25 @@ def findings_evidence(spark, sf_dir):
     return flat.select("id", "place", FI.evidence("text", "f.offset").alias("evidence"))
 
 
+@query(
+    "analysed_submissions",
+    f"""{_LINES}, {_GATES}, {_PROSE}, {_FINDINGS}, t AS ({_TALLY}), n AS (SELECT id, count(*) AS n_sections FROM secs GROUP BY id)
+    SELECT g.id, CASE WHEN short OR ratio < 0.5 OR n_sections IS NULL THEN 'error' ELSE 'analysed' END AS status, CASE WHEN short THEN '{AN.SHORT}' WHEN ratio < 0.5 THEN '{AN.SCRIPT}' WHEN n_sections IS NULL THEN '{AN.NO_SECTIONS}' END AS errormsg, 0.0::DOUBLE AS score, 'low' AS level,
+      CASE WHEN short THEN NULL WHEN ratio < 0.5 THEN md5(left({_norm('g.text')}, 65000)) ELSE md5(left({_norm('prose')}, 65000)) END AS normtext_md5,
+      CASE WHEN NOT short AND ratio >= 0.5 THEN n_sections END::BIGINT AS n_sections, CASE WHEN NOT short AND ratio >= 0.5 THEN strlen(g.text) END::BIGINT AS n_bytes, CASE WHEN NOT short AND ratio >= 0.5 THEN coalesce(n_strong, 0) END::BIGINT AS n_strong,
+      CASE WHEN NOT short AND ratio >= 0.5 THEN coalesce(n_notable, 0) END::BIGINT AS n_notable, CASE WHEN NOT short AND ratio >= 0.5 THEN 3 END::INT AS score_model, CASE WHEN NOT short AND ratio < 0.5 THEN round(ratio, 3) END::DOUBLE AS latin_ratio
+    FROM gates g JOIN own USING (id) LEFT JOIN t USING (id) LEFT JOIN n USING (id)""",
+)
+def analysed_submissions(spark, sf_dir):
+    """The whole analysis of every submission; what its JSON holds is read back from it."""
+    rows, _ = AN.analysed(_extracted(spark, sf_dir))
+    get = lambda path, kind: F.get_json_object("analysisjson", f"$.{path}").cast(kind)
+    return rows.select(
+        "id", "status", "errormsg", "score", "level", F.md5("normtext").alias("normtext_md5"), get("section_count", "long").alias("n_sections"), get("extraction_chars", "long").alias("n_bytes"),
+        get("authenticity.tally.n_strong", "long").alias("n_strong"), get("authenticity.tally.n_notable", "long").alias("n_notable"), get("score_model", "int").alias("score_model"), get("latin_letter_ratio", "double").alias("latin_ratio"),
+    )
+
+
 _TERMS = "[" + ", ".join(f"'{t}'" for t in FI.TERMS) + "]"
 
 

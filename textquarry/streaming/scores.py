@@ -1,8 +1,13 @@
 """Incremental scoring on Structured Streaming.
 
 Submissions arrive as files, in any order of their times; a repeat of (user, cohort, content) less than a day from a
-stored one is dropped, and nothing else. Each micro-batch is compared with the cohort's stored submissions, and scores merge by the raise-only rule. State lies in two
-folders of Parquet versions, written under the batch's number, so a repeated batch writes the same version again.
+stored one is dropped, and nothing else. Each micro-batch's rows are compared with each other and with what is stored of
+their cohorts; stored rows are not compared with each other again. Scores merge by the raise-only rule.
+
+State lies in two folders of Parquet versions under the batch's number, so a repeated batch writes the same version again.
+A version holds only what its batch brought: new submissions, and new or changed scores, of which the one of the highest
+number holds. Disk grows with the submissions, not with the number of batches times the state. After ``MERGED`` versions
+all but the last are written as one, and replaced only when that is complete.
 """
 
 from __future__ import annotations
@@ -18,6 +23,9 @@ SCHEMA = "cohort string, id long, userid long, contenthash string, normtext stri
 KEY = ("userid", "cohort", "contenthash")
 #: In microseconds.
 DAY = 86_400_000_000
+#: Versions from which they are merged.
+MERGED = 64
+_SCORES = "id long, score double, level string"
 
 
 def source(spark: SparkSession, folder: str, per_batch: int = 20) -> DataFrame:
@@ -49,32 +57,69 @@ def without_repeats(batch: DataFrame, held: DataFrame) -> DataFrame:
     return both.select(F.explode(kept).alias("r")).select(*[F.col("r")[c].alias(c) for c in batch.columns])
 
 
-def _version(spark: SparkSession, root: str, number: int, schema: str) -> DataFrame:
-    """The state before a batch: the highest version below its number."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
-    numbers = [int(n[2:]) for n in found if n.startswith("v=") and int(n[2:]) < number]
-    return spark.read.schema(schema).parquet(f"{root}/v={max(numbers)}") if numbers else spark.createDataFrame([], schema)
+def _folder(spark: SparkSession, root: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, root: str, below: int) -> list[int]:
+    """Numbers of the complete versions below a batch's, as of the last merged one."""
+    at, fs = _folder(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    numbers = sorted(n for n in (int(x[2:]) for x in names if x.startswith("v=")) if n < below)
+    merged = max((n for n in numbers if fs.exists(path(f"{root}/v={n}/_MERGED"))), default=-1)
+    return [n for n in numbers if n >= merged]
+
+
+def stored(spark: SparkSession, root: str, below: int, schema: str) -> DataFrame:
+    """All rows of the versions below a batch's number, with that of their version (``v``)."""
+    numbers = _versions(spark, root, below)
+    if not numbers:
+        return spark.createDataFrame([], f"{schema}, v long")
+    return spark.read.option("basePath", root).schema(f"{schema}, v long").parquet(*[f"{root}/v={n}" for n in numbers])
+
+
+def _newest(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("id").agg(F.max_by(F.struct("score", "level"), "v").alias("s")).select("id", "s.score", "s.level")
+
+
+def _merge(spark: SparkSession, root: str, below: int, schema: str, newest: bool) -> None:
+    """Write many versions as one, under the highest of their numbers but the last; then delete them."""
+    numbers = _versions(spark, root, below)[:-1]
+    if len(numbers) < MERGED:
+        return
+    every = stored(spark, root, numbers[-1] + 1, schema)
+    whole = _newest(every) if newest else every.drop("v")
+    at, fs = _folder(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    whole.write.mode("overwrite").parquet(f"{root}/merging")
+    fs.create(path(f"{root}/merging/_MERGED")).close()
+    # The merged version lies beside the old ones until it stands in the last one's place.
+    fs.rename(path(f"{root}/v={numbers[-1]}"), path(f"{root}/replaced"))
+    fs.rename(path(f"{root}/merging"), path(f"{root}/v={numbers[-1]}"))
+    for old in (f"{root}/replaced", *[f"{root}/v={n}" for n in numbers[:-1]]):
+        fs.delete(path(old), True)
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, number: int, state: str, t: Thresholds = DEFAULT) -> None:
     """Add a batch to the stored submissions and merge what it shows into the stored scores."""
-    held = _version(spark, f"{state}/submissions", number, SCHEMA)
-    # Several steps read the batch; it is kept rather than compared with the stored rows again. An empty batch changes nothing.
-    batch = without_repeats(batch, held).persist()
+    held = stored(spark, f"{state}/submissions", number, SCHEMA).select(*batch.columns)
+    # Several steps read the batch; it is written once, as the version of the submissions, and read from there.
+    without_repeats(batch, held).write.mode("overwrite").parquet(f"{state}/submissions/v={number}")
+    batch = spark.read.schema(SCHEMA).parquet(f"{state}/submissions/v={number}")
     if batch.isEmpty():
-        batch.unpersist()
+        batch.select("id", F.lit(0.0).alias("score"), F.lit("low").alias("level")).write.mode("overwrite").parquet(f"{state}/scores/v={number}")
         return
-    scores = _version(spark, f"{state}/scores", number, "id long, score double, level string")
-    touched = batch.select("cohort").distinct()
-    cohort = held.join(touched, "cohort", "left_semi").select(*batch.columns).union(batch)
-    new = batch.select("id")
-    evidence = both_ways(pairs(cohort, t)).join(new, "id", "left_semi").select("id", "other", "similarity")
-    start = scores.select("id", "score").union(new.distinct().join(scores.select("id"), "id", "left_anti").select("id", F.lit(0.0)))
+    scores = _newest(stored(spark, f"{state}/scores", number, _SCORES))
+    cohort = held.join(batch.select("cohort").distinct(), "cohort", "left_semi").select(*batch.columns).union(batch)
+    new = batch.select("id").distinct()
+    evidence = both_ways(pairs(cohort, t, new=new)).join(new, "id", "left_semi").select("id", "other", "similarity")
+    met = evidence.select(F.col("other").alias("id")).union(new).distinct()
+    start = scores.select("id", "score").join(met, "id", "left_semi").union(new.join(scores.select("id"), "id", "left_anti").select("id", F.lit(0.0)))
     raise_only(start, evidence, t).write.mode("overwrite").parquet(f"{state}/scores/v={number}")
-    held.select(*batch.columns).union(batch).write.mode("overwrite").parquet(f"{state}/submissions/v={number}")
-    batch.unpersist()
+    _merge(spark, f"{state}/submissions", number, SCHEMA, False)
+    _merge(spark, f"{state}/scores", number, _SCORES, True)
 
 
 def start(rows: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
@@ -83,7 +128,7 @@ def start(rows: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
 
 
 def current_scores(spark: SparkSession, state: str) -> DataFrame:
-    return _version(spark, f"{state}/scores", 2**62, "id long, score double, level string")
+    return _newest(stored(spark, f"{state}/scores", 2**62, _SCORES))
 
 
 def events_per_window(events: DataFrame, width: str = "1 day") -> DataFrame:
