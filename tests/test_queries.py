@@ -2,6 +2,7 @@ import re
 
 import duckdb
 import pandas as pd
+import pytest
 
 from textquarry import queries as Q
 from textquarry.operators.findings import MARKDOWN
@@ -40,3 +41,8 @@ def test_all_kinds_of_markdown_against_brute_force(spark):
     found = [tuple(r) for r in Q.QUERIES["markdown_findings"](spark, "/root/testdata/sf0.001").collect()]
     assert set(found) == want and len(found) == len(want)
     assert any(label == "markdown italic" for _, label, _ in found)
+
+
+@pytest.mark.parametrize("name", ["section_rows", "analysed_submissions", "findings_sorted", "findings_tally", "longest_sentence", "verification_questions", "privacy_export", "markdown_findings"])
+def test_query_equals_sql(spark, name):
+    assert same_as_sql(spark, name, "/root/testdata/sf0.001")

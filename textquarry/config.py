@@ -39,6 +39,7 @@ class Thresholds:
     grace_seconds: int = 300
     backfill_grace_seconds: int = 3600
     scan_batch: int = 20
+    head_room: int = 5
     retention_days: int = 90
 
 

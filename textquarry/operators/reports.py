@@ -22,6 +22,20 @@ def named(rows: DataFrame, users: DataFrame, key: str, unknown: str | Column = "
     return rows.join(lookup, key, "left").withColumn("name", F.coalesce("name", F.lit(unknown) if isinstance(unknown, str) else unknown))
 
 
+def named_matches(best: DataFrame, subs: DataFrame, users: DataFrame) -> DataFrame:
+    """Matches (cohort, id, other, similarity, rank) with the other author's user name, full name and level."""
+    others = subs.select(F.col("id").alias("other"), "userid", F.col("level").alias("other_level"))
+    found = best.join(others, "other").join(users.select("userid", "username", "name"), "userid", "left")
+    return found.select("cohort", "id", "other", "similarity", "rank", F.coalesce("username", F.lit("?")).alias("username"), F.coalesce("name", F.lit("Unknown")).alias("fullname"), "other_level")
+
+
+def named_pairs(found: DataFrame, subs: DataFrame, users: DataFrame) -> DataFrame:
+    """Pairs with both authors' names."""
+    names = named(subs.select("id", "userid"), users, "userid", "unknownuser")
+    side = lambda k: names.select(F.col("id").alias(k), F.col("name").alias(f"name_{k}"))
+    return found.join(side("a"), "a").join(side("b"), "b").select("cohort", "a", "b", "similarity", "name_a", "name_b")
+
+
 def class_report(subs: DataFrame, users: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Rows of the class list, newest first: name, status, whole percentage and level."""
     rows = named(subs.where("status <> 'unsupported'"), users, "userid", F.concat(F.lit("#"), F.col("userid").cast("string")))

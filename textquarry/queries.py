@@ -170,6 +170,31 @@ def submission_scores(spark, sf_dir):
     return M.scores(rows, M.pairs(rows))
 
 
+@query("strict_pairs", f"{_SIMILAR} SELECT * FROM pair".replace("strlen(n.normtext) >= 100", "strlen(n.normtext) > 100"))
+def strict_pairs(spark, sf_dir):
+    """Pairs as the class report makes them: of documents with more than the least length."""
+    return M.pairs(comparable_rows(spark, sf_dir), strict=True)
+
+
+_USERS = "users AS (SELECT c_custkey AS userid, 'user' || c_custkey AS username, c_name AS name FROM customer WHERE c_custkey % 3 <> 0)"
+
+
+def _users(spark, sf_dir):
+    """``customer`` stands in for the users; a third of them are left out, as deleted users are."""
+    return read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("userid"), F.concat(F.lit("user"), F.col("c_custkey")).alias("username"), F.col("c_name").alias("name"))
+
+
+@query("match_names", f"{_SIMILAR}, {_USERS}, best AS (SELECT *, row_number() OVER (PARTITION BY cohort, id ORDER BY similarity DESC, other)::INT AS rank FROM both_ways) SELECT b.cohort, b.id, other, similarity, rank, coalesce(username, '?') AS username, coalesce(name, 'Unknown') AS fullname, s.level AS other_level FROM best b JOIN subs s ON s.id = b.other LEFT JOIN users u ON u.userid = s.userid WHERE rank <= 10")
+def match_names(spark, sf_dir):
+    best = M.matches(M.pairs(comparable_rows(spark, sf_dir)))
+    return R.named_matches(best, submissions(spark, sf_dir), _users(spark, sf_dir))
+
+
+@query("pair_names", f"{_SIMILAR}, {_USERS} SELECT p.*, coalesce(x.name, 'unknownuser') AS name_a, coalesce(y.name, 'unknownuser') AS name_b FROM pair p JOIN subs s ON s.id = a JOIN subs t ON t.id = b LEFT JOIN users x ON x.userid = s.userid LEFT JOIN users y ON y.userid = t.userid")
+def pair_names(spark, sf_dir):
+    return R.named_pairs(M.pairs(comparable_rows(spark, sf_dir)), submissions(spark, sf_dir), _users(spark, sf_dir))
+
+
 @query("cohort_floor", f"{_SIMILAR} SELECT cohort, count(DISTINCT id) AS n_compared FROM mine GROUP BY cohort")
 def cohort_floor(spark, sf_dir):
     return M.own_sets(comparable_rows(spark, sf_dir)).groupBy("cohort").agg(F.countDistinct("id").alias("n_compared"))
@@ -546,6 +571,68 @@ def backfill_candidates(spark, sf_dir):
     return L.backfill(files, activities, attempts, files.where("userid % 2 = 0"), NOW).select("userid", "cohort", "contenthash", "filename")
 
 
+_CANDIDATES = f"""numbered AS (SELECT o_custkey % 500 AS userid, o_orderpriority AS cohort, sha1((o_orderkey % 4000)::VARCHAR) AS contenthash, o_orderkey AS fileid, o_orderkey % 9 <> 0 AS supported, epoch(o_orderdate)::BIGINT AS timemodified, o_custkey AS submissionid FROM orders),
+  tracked2 AS (SELECT DISTINCT userid, cohort, contenthash FROM numbered WHERE userid % 2 = 0),
+  candidates AS (SELECT n.* FROM numbered n WHERE userid > 0 AND userid % 3 = 0 AND cohort <> '5-LOW' AND timemodified < {NOW} - 3600 AND NOT EXISTS (SELECT 1 FROM tracked2 t WHERE t.userid = n.userid AND t.cohort = n.cohort AND t.contenthash = n.contenthash))"""
+
+
+def _numbered(spark, sf_dir):
+    files = read(spark, sf_dir, "orders")
+    return files.select(
+        (F.col("o_custkey") % 500).alias("userid"), F.col("o_orderpriority").alias("cohort"), F.sha1((F.col("o_orderkey") % 4000).cast("string")).alias("contenthash"),
+        F.col("o_orderkey").alias("fileid"), (F.col("o_orderkey") % 9 != 0).alias("supported"), F.unix_timestamp("o_orderdate").alias("timemodified"), F.col("o_custkey").alias("submissionid"),
+    )
+
+
+def _candidates(spark, sf_dir):
+    files = _numbered(spark, sf_dir)
+    activities = files.select("cohort").distinct().withColumn("enabled", F.col("cohort") != "5-LOW")
+    attempts = files.where("userid % 3 = 0").select("cohort", "userid").distinct().withColumn("status", F.lit("submitted"))
+    return L.backfill(files, activities, attempts, files.where("userid % 2 = 0"), NOW)
+
+
+@query("backfill_queue", f"WITH {_CANDIDATES} SELECT fileid, timemodified FROM candidates ORDER BY timemodified, fileid LIMIT 50")
+def backfill_queue(spark, sf_dir):
+    return L.backfill_queue(_candidates(spark, sf_dir), 10).select("fileid", "timemodified")
+
+
+@query(
+    "process_pending",
+    f"""{_CTE}, {_CANDIDATES}, one AS (SELECT id FROM subs WHERE status = 'pending' AND timecreated < {NOW} - 300 ORDER BY timecreated, id LIMIT 9),
+  left_ AS (SELECT 15 - count(*) AS n FROM one), queue AS (SELECT *, row_number() OVER (ORDER BY timemodified, fileid) AS k FROM candidates),
+  used AS (SELECT *, coalesce(sum(supported::INT) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM queue WHERE k <= 5 * (SELECT n FROM left_))
+  SELECT 1 AS phase, id, NULL::BIGINT AS fileid, 'analyse' AS action FROM one UNION ALL
+  SELECT 2, NULL, fileid, CASE WHEN supported THEN 'analyse' ELSE 'marker' END FROM used WHERE u < (SELECT n FROM left_)""",
+)
+def process_pending(spark, sf_dir):
+    """The queue is cut to nine rows, so that both phases have something to do."""
+    few = L.pending(submissions(spark, sf_dir), NOW).limit(9)
+    return L.process_pending(few, _candidates(spark, sf_dir), NOW)
+
+
+@query("scan_activity", f"WITH {_CANDIDATES}, open_ AS (SELECT n.* FROM numbered n WHERE cohort = '1-URGENT' AND supported AND NOT EXISTS (SELECT 1 FROM tracked2 t WHERE t.userid = n.userid AND t.cohort = n.cohort AND t.contenthash = n.contenthash)) SELECT least(count(*), 20)::BIGINT AS n_taken, count(*) > 20 AS deferred FROM open_")
+def scan_activity(spark, sf_dir):
+    files = _numbered(spark, sf_dir)
+    return L.scan_step(files.where("cohort = '1-URGENT'"), files.where("userid % 2 = 0"))[1]
+
+
+@query("supported_counts", f"WITH {_CANDIDATES} SELECT cohort, userid, count(*) FILTER (supported) AS n_supported FROM numbered GROUP BY ALL")
+def supported_counts(spark, sf_dir):
+    return L.supported_counts(_numbered(spark, sf_dir))
+
+
+@query("content_hash_lookup", "SELECT CASE WHEN o_orderkey % 4000 = 7 THEN '' ELSE sha1((o_orderkey % 4000)::VARCHAR) END AS contenthash, max(o_orderkey) AS id FROM orders WHERE o_orderkey % 4000 <> 7 AND o_orderkey % 5 <> 0 GROUP BY 1")
+def content_hash_lookup(spark, sf_dir):
+    files = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4000 == 7, "").otherwise(F.sha1((F.col("o_orderkey") % 4000).cast("string"))).alias("contenthash"), F.when(F.col("o_orderkey") % 5 == 0, ".").otherwise("file").alias("filename"))
+    return L.newest_files(files)
+
+
+@query("backup_eligible", "SELECT n_nationkey AS cohort FROM nation WHERE n_regionkey = 2")
+def backup_eligible(spark, sf_dir):
+    activities = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cohort"), F.when(F.col("n_regionkey") == 2, "assign").otherwise("quiz").alias("modname"))
+    return L.in_backup(activities).select("cohort")
+
+
 @query("unsupported_markers", f"WITH {_FILES} SELECT userid, cohort, contenthash, left(filename, 512) AS filename, 'unsupported' AS status FROM files WHERE NOT supported")
 def unsupported_markers(spark, sf_dir):
     return L.unsupported_markers(_files(spark, sf_dir))
@@ -577,6 +664,29 @@ def retention_prune(spark, sf_dir):
     return rows.groupBy("cohort").agg(F.count("*").alias("n"), F.count("text").alias("n_text"), F.round(F.sum("score"), 2).alias("total"))
 
 
+@query("section_prune", f"{_LINES} SELECT s.id AS subid, section_num, CASE WHEN u.timecreated < {NOW} - 90 * 86400 THEN NULL ELSE md5(body) END AS text_md5 FROM secs s JOIN subs u ON u.id = s.id")
+def section_prune(spark, sf_dir):
+    subs = submissions(spark, sf_dir)
+    secs = S.section_rows(subs, "id").select(F.col("id").alias("subid"), "section_num", F.col("text").alias("section_text"))
+    return L.prune_sections(secs, subs, NOW).select("subid", "section_num", F.md5("section_text").alias("text_md5"))
+
+
+@query("prune_counters", f"{_LINES}, old AS (SELECT id FROM subs WHERE timecreated < {NOW} - 90 * 86400) SELECT (SELECT count(*) FROM old JOIN subs USING (id) WHERE text IS NOT NULL) AS n_submissions, (SELECT count(*) FROM secs WHERE id IN (SELECT id FROM old)) AS n_sections")
+def prune_counters(spark, sf_dir):
+    subs = submissions(spark, sf_dir)
+    secs = S.section_rows(subs, "id").select(F.col("id").alias("subid"), F.col("text").alias("section_text"))
+    return L.prune_counts(subs.withColumn("normtext", F.col("text")), secs, NOW)
+
+
+@query("reanalysed_sections", f"{_LINES} SELECT u.cohort, count(*) AS n_sections FROM secs s JOIN subs u USING (id) WHERE u.cohort <> 'src1' GROUP BY 1")
+def reanalysed_sections(spark, sf_dir):
+    """The sections that stay when one activity is analysed again."""
+    subs = submissions(spark, sf_dir)
+    secs = S.section_rows(subs, "id").select(F.col("id").alias("subid"), "section_num")
+    _, left = L.reanalysed(subs, secs, F.col("cohort") == "src1")
+    return left.join(subs.select(F.col("id").alias("subid"), "cohort"), "subid").groupBy("cohort").agg(F.count("*").alias("n_sections"))
+
+
 @query("orphan_purge", "SELECT o_orderkey AS id FROM orders WHERE o_custkey % 1000 = 0 OR o_custkey % 1000 IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
 def orphan_purge(spark, sf_dir):
     """Orders stand in for rows, customers of some nations for activities that still exist."""
@@ -648,6 +758,19 @@ def group_visibility(spark, sf_dir):
     return L.visible(subs, members, 21).select("id")
 
 
+@query(
+    "visibility_arms",
+    f"""{_CTE}, members AS (SELECT DISTINCT cohort, userid, userid % 4 AS g FROM subs)
+    SELECT id FROM subs s WHERE userid = 21 OR s.cohort NOT IN ('src1', 'src2', 'src3') OR s.cohort = 'src3' OR EXISTS (SELECT 1 FROM members a JOIN members b ON a.cohort = b.cohort AND a.g = b.g AND b.userid = 21 WHERE a.cohort = s.cohort AND a.userid = s.userid)""",
+)
+def visibility_arms(spark, sf_dir):
+    """Three activities have separate groups; in one of them the viewer may see all."""
+    subs = submissions(spark, sf_dir).select("id", "cohort", "userid")
+    members = subs.select("cohort", "userid", (F.col("userid") % 4).alias("groupid")).distinct()
+    named = lambda *names: spark.createDataFrame([(n,) for n in names], "cohort string")
+    return L.visible(subs, members, 21, named("src1", "src2", "src3"), named("src3")).select("id")
+
+
 @query("report_permission", "SELECT c_custkey AS userid FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0")
 def report_permission(spark, sf_dir):
     users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("userid"))
