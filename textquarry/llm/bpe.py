@@ -1,7 +1,8 @@
 """BPE encoding and decoding (operator 3) by concatenation.
 
 A text is cut at white space where the tokenizer provably cuts too, and equal pieces of a task are encoded once. A
-piece longer than ``LEAF`` (long unsplit text) is a tree: its leaves are encoded in parallel, and two neighbours are
+piece longer than ``LEAF`` (long unsplit text) is a tree: its leaves do not depend on each other and are encoded in one
+batch (on one core: a task has one, and the library's own threads are off), as are all joins of a level. Two neighbours are
 joined by re-encoding a window around the join. The window runs from a token start on the left to a token end on the
 right and grows until its outer tokens equal those that both sides already had there. Beyond such a pair of agreeing
 tokens nothing changes: a sequence of BPE tokens is the encoding of its text exactly if every adjacent pair is the
@@ -9,7 +10,10 @@ encoding of its own text, and all adjacent pairs then stem from a valid encoding
 
 Texts with other Unicode white space, or with the string of a special token, are encoded whole by the library.
 
-Cases: a null or empty text has no tokens; an empty table gives an empty result.
+Equal pieces are found by hash and compared byte by byte with the piece whose encoding they get.
+
+Cases: a null or empty text has no tokens; repeated rows are encoded each; an empty table gives an empty result. A text of
+any length is one row of work. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from textquarry.llm.common import parts, table, tidy
 #: Characters in a leaf of the tree, and tokens that must agree on either side of a window.
 LEAF = 1024
 AGREE = 2
+#: Bytes of text in work at a time.
+SLICE_BYTES = 1 << 20
 #: Distinct pieces, and bytes of what is kept of them, that a worker remembers; beyond that it starts anew.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 48 << 20
 
@@ -253,7 +259,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", SLICE_BYTES):
             ids, decoded = [], []
             for x, y in _rows(batch.column("text"), path):
                 ids.append(np.array([int(i) for i in x.split()], np.int32))
@@ -286,7 +292,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", SLICE_BYTES):
             n, ids, decoded = [], [], []
             for x, y in _rows(batch.column("text"), path):
                 n.append(x.count(b" ") + 1 if x else 0)

@@ -42,10 +42,27 @@ def _drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Paths that were made and not deleted yet.
+_MADE: dict[str, None] = {}
+
+
+def scratch() -> list[str]:
+    return list(_MADE)
+
+
+def forget(spark: SparkSession, paths: list[str | None]) -> None:
+    """Delete paths of the shared folder that nothing reads any more."""
+    for path in paths:
+        if path in _MADE:
+            del _MADE[path]
+            _drop_path(spark, path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the driver's interpreter ends."""
+    """A new path in the shared folder; what is left of it is removed when the driver's interpreter ends."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop_path, spark, path)
+    _MADE[path] = None
+    atexit.register(forget, spark, [path])
     return path
 
 
@@ -62,7 +79,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more."""
     for df in tables:
-        _drop_path(df.sparkSession, df.scratch_path)
+        forget(df.sparkSession, [df.scratch_path])
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -11,7 +11,9 @@ Both the training samples and the model are small and fixed: ``samples`` makes t
 replaced by any labelled strings through ``train``.
 
 Spans are in code points, the end exclusive. Cases: a null or empty text has no spans; an empty table gives an empty
-result; repeated rows are scanned each.
+result; repeated rows are scanned each, and so is a text of any length, whole. Columns other than doc_id and text are not
+read by ``scan`` and pass through ``stage``. Runs of fewer than ``MIN_RUN`` characters are not judged: what a key of that
+length would add over chance is less than the threshold asks for.
 """
 
 from __future__ import annotations
@@ -214,7 +216,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, its secrets replaced by ``[SECRET]`` and n_chars counted anew."""
+    """Pipeline stage: every document stays, its secrets replaced by ``[SECRET]`` and n_chars, where there is one, counted anew."""
     model = train(samples())
 
     @tidy
@@ -222,8 +224,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in parts(batches, "text"):
             old = batch.column("text").to_pylist()
             new = [redacted(t, find(t, model)[1]) for t in old]
-            lengths = [n if a is b else len(b) for a, b, n in zip(old, new, batch.column("n_chars").to_pylist(), strict=True)]
-            for name, values in (("text", new), ("n_chars", lengths)):
+            changed = {"text": new}
+            if "n_chars" in batch.schema.names:
+                changed["n_chars"] = [n if a is b else len(b) for a, b, n in zip(old, new, batch.column("n_chars").to_pylist(), strict=True)]
+            for name, values in changed.items():
                 at = batch.schema.get_field_index(name)
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
             yield batch
