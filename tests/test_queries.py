@@ -55,3 +55,12 @@ def test_word_edges_and_white_space_equal_sql(spark, tmp_path, name):
     rows = [(17 * k + 1, body + t, "de", "a", len(body + t)) for k, t in enumerate(texts)] + [(17 * k + 18, t, "de", "a", len(t)) for k, t in enumerate(texts, 20)]
     pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(tmp_path / "documents.parquet")
     assert same_as_sql(spark, name, str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["token_bigrams", "bigram_document_frequency"])
+def test_texts_cut_behind_a_space_equal_sql(spark, tmp_path, name):
+    words = " ".join(f"word{k:05d}" for k in range(9000))
+    # Of a text with one more letter at its start, the cut falls one place earlier in a word.
+    rows = [(17 * k + 4, f"{'x' * k} {words}", "de", "a", len(words) + k + 1) for k in range(1, 12)]
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(tmp_path / "documents.parquet")
+    assert same_as_sql(spark, name, str(tmp_path))
