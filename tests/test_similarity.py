@@ -82,3 +82,16 @@ def test_hashed_sets_have_the_size_of_string_sets(spark):
     row = spark.createDataFrame([(text,)], "t string").select(tokens(F.col("t")).alias("toks"))
     (n,) = row.select(F.size(bigram_hashes(F.col("toks")))).first()
     assert n == len({(a, b) for a, b in zip(text.split(), text.split()[1:])})
+
+
+def test_shared_bigrams_and_groups_of_candidates_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(M, "COUNTED", 50)
+    sets = {(c, k): sorted({(7 * k + j * (k % 5 + 1)) % 400 - 200 for j in range(30)}) for c in "ab" for k in range(12)}
+    frame = spark.createDataFrame([(c, k, hs, len(hs)) for (c, k), hs in sets.items()], "cohort string, id long, hs array<long>, size int")
+    want = sorted((k, sum(h in other for (x, _), other in sets.items() if x == c)) for (c, k), hs in sets.items() for h in hs)
+    assert sorted((r.id, r.df) for r in M.shared_bigrams(frame).collect()) == [x for x in want if x[1] > 1]
+    # Parts of a few candidates and of few bigrams find the same pairs.
+    monkeypatch.setattr(M, "TRIED", 3)
+    monkeypatch.setattr(M, "GROUPED", 100)
+    rows = [r for r in cohorts(5) if r[0] in ("ring", "three")]
+    assert found(spark, rows) == brute(rows) != {}
