@@ -46,3 +46,14 @@ def test_against_brute_force(spark, monkeypatch):
     found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.suffix_dedup(frame).collect()]
     assert sorted(found, key=str) == sorted(brute(rows), key=str)
     assert D.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_order_equals_lexsort_with_and_without_room_for_the_rank():
+    rng = np.random.default_rng(2)
+    high, low = rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(50), rng.integers(0, 30, 3000).astype(np.uint64)
+    for bits in (40, 63):
+        order, step = D._order(high, low, bits)
+        want = np.lexsort((low, high))
+        assert (high[order] == high[want]).all() and (low[order] == low[want]).all()
+        assert (np.flatnonzero(step) == np.flatnonzero(np.append(False, (np.diff(high[want]) != 0) | (np.diff(low[want].astype(np.int64)) != 0)))).all()
+    assert all(len(x) == 0 for x in D._order(high[:0], low[:0], 40))
