@@ -81,3 +81,24 @@ def test_words_with_one_hash_keep_their_own_ids(spark, monkeypatch):
         for k, odd in enumerate(other.tolist()):
             if not odd:
                 assert [i for s in slots[at[k] : at[k + 1]] for i in met.flat[met.start[s] : met.start[s] + met.count[s]].tolist()] == by_library(path, texts[k])
+
+
+@given(st.lists(st.text(alphabet="ab's! \n\t\r \u0085\u2003é<|", max_size=40), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_joined_pieces_equal_library(texts):
+    met = bpe.BytePieces(BYTE, bpe.byte_cuts)
+    extra = ["it's we'll a  b\tc\n d ", " x  y <|endoftext|> z", "übung läuft über 東京 です 🙂 ok", " 12a 3.4 ..' 's !!", "q" * 3000 + " r"]
+    for joined in (1 << 14, 20):
+        met.JOINED = joined
+        met._forget()
+        data, offsets = A.texts(pa.array([*texts, *extra]))
+        slots, at, other = met.look_up(data, offsets)
+        assert not other.any()
+        for k, odd in enumerate(bpe.odd_rows(data, offsets)):
+            if not odd:
+                assert [i for s in slots[at[k] : at[k + 1]] for i in met.flat[met.start[s] : met.start[s] + met.count[s]].tolist()] == by_library(BYTE, [*texts, *extra][k])
+    # A text whose tokens do not end with its pieces is encoded piece by piece.
+    met.width += 1
+    met._forget()
+    slots, at, _ = met.look_up(*A.texts(pa.array(["one two three"])))
+    assert [i for s in slots for i in met.flat[met.start[s] : met.start[s] + met.count[s]].tolist()] == by_library(BYTE, "one two three")

@@ -196,19 +196,15 @@ class Pieces:
         if len(new):
             sizes = ends[first[new]] - starts[first[new]]
             bytes_ = data[A.ragged(starts[first[new]], sizes)]
-            cuts = np.cumsum(sizes).tolist()
-            whole = bytes_.tobytes()
-            found = self._encode([whole[a:b].decode() for a, b in zip([0, *cuts], cuts)])
             slots[new] = len(self.count) + np.arange(len(new))
-            counts = np.fromiter(map(len, found), np.int64, len(found))
+            counts, flat = self._encoded(bytes_, sizes)
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))])
+            self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, len(self.raw) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
             self.raw = np.concatenate([self.raw, bytes_])
             self.keys, self.slots = np.insert(self.keys, at[new], keys[new]), np.insert(self.slots, at[new], slots[new])
-            self.learned(found)
         slots = slots[inverse]
         return slots, piece_offsets, self._other(data, starts, ends, slots, piece_offsets)
 
@@ -225,12 +221,69 @@ class Pieces:
     def learned(self, found: list[list[int]]) -> None:
         """For what is kept beside the ids."""
 
+    def _encoded(self, bytes_: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the pieces that follow each other in ``bytes_`` has, and all their ids."""
+        cuts = np.cumsum(sizes).tolist()
+        whole = bytes_.tobytes()
+        found = self._encode([whole[a:b].decode() for a, b in zip([0, *cuts], cuts)])
+        self.learned(found)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return counts, np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
+
     def _encode(self, strings: list[str]) -> list[list[int]]:
         short = [s for s in strings if len(s) <= LEAF]
         found = iter(self.tok.encode_batch_fast(short, add_special_tokens=False))
         return [next(found).ids if len(s) <= LEAF else encode_long(self.tok, s) for s in strings]
 
 
+#: Bytes that may belong to other white space or to a special token.
+_UNSURE = np.zeros(256, bool)
+_UNSURE[[ord("<"), *{c.encode()[0] for c in _OTHER_SPACE}]] = True
+
+
+class BytePieces(Pieces):
+    """For a byte-level tokenizer: pieces of a space and a word are encoded as one text, as it cuts before each such space.
+
+    Every token stands for so many bytes, so the ids are dealt out to the pieces by their bytes. Other pieces, and all of a
+    text whose tokens do not end where its pieces do, are encoded by themselves.
+    """
+
+    #: Bytes of pieces that are encoded as one text.
+    JOINED = 1 << 14
+
+    def __init__(self, path: str, cuts):
+        super().__init__(path, cuts)
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        # In a byte-level vocabulary a character stands for a byte.
+        self.width[list(vocabulary.values())] = [len(token) for token in vocabulary]
+
+    def _encoded(self, bytes_: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        unsure = A.per_row(A.SPACE[bytes_] | _UNSURE[bytes_], np.append(0, ends)) != (bytes_[starts] == 32)
+        plain = np.flatnonzero((bytes_[starts] == 32) & (sizes > 1) & (sizes <= LEAF) & ~unsure)
+        counts, starts_at, chunks = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), []
+        alone = np.ones(len(sizes), bool)
+        held = 0
+        groups = np.split(plain, np.flatnonzero(np.diff(np.cumsum(sizes[plain]) // self.JOINED)) + 1) if len(plain) else []
+        texts_ = [bytes_[A.ragged(starts[g], sizes[g])].tobytes().decode() for g in groups]
+        for g, found in zip(groups, self.tok.encode_batch_fast(texts_, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            token_ends, piece_ends = np.cumsum(self.width[ids]), np.cumsum(sizes[g])
+            last = np.searchsorted(token_ends, piece_ends)
+            if len(ids) and token_ends[-1] == piece_ends[-1] and (token_ends[last] == piece_ends).all():
+                counts[g] = np.diff(last, prepend=-1)
+                starts_at[g] = held + np.append(0, last[:-1] + 1)
+                alone[g] = False
+                chunks.append(ids)
+                held += len(ids)
+        rest = np.flatnonzero(alone)
+        counts[rest], ids = super()._encoded(bytes_[A.ragged(starts[rest], sizes[rest])], sizes[rest])
+        starts_at[rest] = held + np.cumsum(counts[rest]) - counts[rest]
+        return counts, np.concatenate([*chunks, ids])[A.ragged(starts_at, counts)]
+
+
 class WordPieces(Pieces):
     """Also keeps each piece's ids as decimals and its decoded text."""
 

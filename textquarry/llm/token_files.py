@@ -152,7 +152,7 @@ def open_file(path: str) -> Reader:
 def batch_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text, by the byte-level tokenizer at ``path``, with the end id."""
     data, offsets = A.texts(column)
-    met = bpe.pieces(path, bpe.Pieces, bpe.byte_cuts)
+    met = bpe.pieces(path, bpe.BytePieces, bpe.byte_cuts)
     slots, piece_offsets, other = met.look_up(data, offsets)
     odd = (bpe.odd_rows(data, offsets) | other).tolist()
     counts = met.count[slots]
