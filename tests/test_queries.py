@@ -64,3 +64,8 @@ def test_texts_cut_behind_a_space_equal_sql(spark, tmp_path, name):
     rows = [(17 * k + 4, f"{'x' * k} {words}", "de", "a", len(words) + k + 1) for k in range(1, 12)]
     pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(tmp_path / "documents.parquet")
     assert same_as_sql(spark, name, str(tmp_path))
+
+
+def test_analysis_reads_each_text_once_and_shuffles_none(spark):
+    plan = Q.QUERIES["analysed_submissions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan

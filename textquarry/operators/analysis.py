@@ -16,7 +16,7 @@ from textquarry.functions.text import latin_ratio, normalise, text_or_empty, tri
 from textquarry.operators import findings as FI
 from textquarry.operators import prose as P
 from textquarry.operators import provenance as PV
-from textquarry.operators.sections import section_rows
+from textquarry.operators.sections import section_rows, split_sections
 
 #: Version of the checks, stored with their results.
 CHECKS = 1
@@ -55,24 +55,21 @@ def analysed(docs: DataFrame, t: Thresholds = DEFAULT) -> tuple[DataFrame, DataF
     A script that the checks can't read is refused, but its whole text stays comparable.
     """
     docs = docs.select("id", text_or_empty(F.col("text")).alias("text"), "error", "method", F.coalesce("fields", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("fields"))
-    gate = (
-        F.when(F.col("error").isNotNull(), F.col("error")).when(F.octet_length(trimmed(F.col("text"))) < t.document_bytes, SHORT)
-        .when(latin_ratio(F.col("text")) < t.latin_floor, SCRIPT)
-    )
-    gated = docs.withColumn("errormsg", gate)
-    passed = gated.where("errormsg IS NULL")
-    sections = described_sections(passed.select("id", "text"), "id", t)
-    counted = sections.groupBy("id").agg(F.count("*").alias("n_sections"))
-    found = FI.text_findings(passed.select("id", "text"), "id").select("id", "findings")
-    asked = FI.questions(passed.select("id", "text"), "id")
-    rows = gated.join(counted, "id", "left").join(found, "id", "left").join(asked, "id", "left")
-    observed = F.transform(PV.labels(F.col("fields"), word_count(F.col("text")), t), lambda x: FI.context(x))
-    rows = rows.withColumn("findings", FI.sorted_findings(F.concat(F.coalesce("findings", F.array().cast(FI.FINDING)), observed)))
+    gate = lambda other_script: F.when(F.col("error").isNotNull(), F.col("error")).when(F.octet_length(trimmed(F.col("text"))) < t.document_bytes, SHORT).when(other_script, SCRIPT)
+    sections = described_sections(docs.where(gate(latin_ratio(F.col("text")) < t.latin_floor).isNull()).select("id", "text"), "id", t)
+    gated = docs.withColumn("_marks", FI.marks(F.col("text"))).withColumn("errormsg", gate(FI.below_latin(F.col("text"), F.col("_marks"), t.latin_floor)))
+    # All of a row is found from its own text, row by row; what failed a gate has no text there.
+    passed = gated.withColumn("_whole", F.col("text")).withColumn("text", F.when(F.col("errormsg").isNull(), F.col("text")))
+    counted = split_sections(passed, t).withColumn("n_sections", F.nullif(F.size("sections"), F.lit(0)).cast("long")).drop("sections")
+    rows = FI.with_questions(FI.with_findings(FI.noted(counted), t)).drop("_law")
+    observed = F.when(F.size("fields") > 0, F.transform(PV.labels(F.col("fields"), word_count(F.col("text")), t), lambda x: FI.context(x))).otherwise(F.array().cast(FI.FINDING))
+    rows = rows.withColumn("_observed", observed)
+    rows = rows.withColumn("findings", F.when(F.size("_observed") > 0, FI.sorted_findings(F.concat("findings", "_observed"))).otherwise(F.col("findings"))).drop("_observed")
     refused = F.col("errormsg") == SCRIPT
     errormsg = F.coalesce("errormsg", F.when(F.col("n_sections").isNull(), NO_SECTIONS))
-    whole = P.normal_text(rows, t).withColumn("errormsg", errormsg)
-    json = F.when(refused, F.to_json(F.struct(F.lit(True).alias("unsupported_script"), F.round(latin_ratio(F.col("text")), 3).alias("latin_letter_ratio")))).when(F.col("errormsg").isNull(), _json(t))
-    normtext = F.when(refused, F.substring(normalise(F.col("text")), 1, t.text_chars)).when(F.col("errormsg").isNull(), F.col("normtext"))
+    whole = P.normal_text(rows, t, FI.headed(F.col("_marks"))).withColumn("errormsg", errormsg)
+    json = F.when(refused, F.to_json(F.struct(F.lit(True).alias("unsupported_script"), F.round(latin_ratio(F.col("_whole")), 3).alias("latin_letter_ratio")))).when(F.col("errormsg").isNull(), _json(t))
+    normtext = F.when(refused, F.substring(normalise(F.col("_whole")), 1, t.text_chars)).when(F.col("errormsg").isNull(), F.col("normtext"))
     status = F.when(F.col("errormsg").isNull(), "analysed").otherwise("error")
     return whole.select("id", status.alias("status"), "errormsg", F.lit(0.0).alias("score"), F.lit("low").alias("level"), normtext.alias("normtext"), json.alias("analysisjson")), sections
 

@@ -24,15 +24,14 @@ _SECTIONS = "array<struct<num:int,label:string,text:string>>"
 
 
 def _whole_lines(text: Column) -> Column:
-    return F.regexp_replace(text_or_empty(text), r"\r\n?", "\n")
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text_or_empty(text))
 
 
 def _grouped(text: Column, marker: str, head) -> Column:
     """Sections from marked lines: the text is cut before each marked line, and what stands before the first one goes."""
-    pieces = F.split(text, f"(?md)(?={marker})", -1)
-    # The line feed in front of the next marked line belongs to no section.
-    bare = F.transform(pieces, lambda x, i: F.when(i < F.size(pieces) - 1, F.regexp_replace(x, r"\n\z", "")).otherwise(x))
-    return F.transform(F.filter(bare, lambda x: x.rlike(marker)), lambda x: F.struct(*head(x), x.alias("text")))
+    # The line feed in front of a marked line belongs to no section.
+    pieces = F.split(text, f"(?md)\\n(?={marker})", -1)
+    return F.transform(F.filter(pieces, lambda x: x.rlike(marker)), lambda x: F.struct(*head(x), x.alias("text")))
 
 
 def _labelled_head(line: Column) -> list[Column]:
@@ -56,7 +55,7 @@ def split_sections(docs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Adds ``sections`` to ``docs`` (with ``text``)."""
     long_enough = lambda s: F.octet_length(trimmed(s["text"])) >= t.section_bytes
     staged = docs.withColumn("_labelled", F.filter(marked(F.col("text"), "labelled"), long_enough)).withColumn("_numbered", F.when(F.size("_labelled") >= 2, F.array().cast(_SECTIONS)).otherwise(F.filter(marked(F.col("text"), "numbered"), long_enough)))
-    whole = F.array(F.struct(F.lit(0).alias("num"), F.lit("Full Document").alias("label"), F.regexp_replace("text", r"\r\n?", "\n").alias("text"))).cast(_SECTIONS)
+    whole = F.array(F.struct(F.lit(0).alias("num"), F.lit("Full Document").alias("label"), _whole_lines(F.col("text")).alias("text"))).cast(_SECTIONS)
     none = F.array().cast(_SECTIONS)
     chosen = F.when(F.size("_labelled") >= 2, F.col("_labelled")).when(F.size("_numbered") >= 2, F.col("_numbered")).when(trimmed(text_or_empty(F.col("text"))) == "", none).otherwise(whole)
     return staged.withColumn("sections", chosen).drop("_labelled", "_numbered")
