@@ -144,3 +144,15 @@ def test_small_table_equals_sql(spark):
     want = by_sql(docs, asked)
     got = {r.doc_id: (r["items"], r.reparameterised) for r in D.op7_decontamination(spark, sf).where("contaminated").collect()}
     assert got == want and want
+
+
+def test_words_are_made_once_and_as_before(spark):
+    texts = [
+        "", None, "...", " -- ?! ", "...a", "a...", "(A-b) --c-- d", "!!\t?x?\x0b..5..", "\u0130x \u00bfQu\u00e9? \u2014 \u2160.", "\U0001f600a\U0001f600 \U0001f600", "3.5, 3..5 1,000; x3 3x 7/8. -2-",
+        "Seven second Mark, mm. ten's", "a\u00a0b .\u00a0. \u0301e", "_a_ __ `1`",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.raw, r.canon) for r in D.words(frame, "doc_id").collect()}
+    assert got == {k: words_of(t) for k, t in enumerate(texts) if words_of(t)[0]}
+    plan = D.hashes(D.words(frame, "doc_id"), [5], "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(") == 1

@@ -50,11 +50,14 @@ SLOTS = ("<num>", "<name>", "<unit>")
 
 def words(docs: DataFrame, *keys: str) -> DataFrame:
     """The keys, ``raw`` (words without outer punctuation, lower case) and ``canon`` (with placeholders), aligned."""
-    bare = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), rf"(?<!{_PUNCTUATION}){_PUNCTUATION}++(?![^{_WS}])|(?<![^{_WS}]){_PUNCTUATION}++", "")
-    numbered = lambda s: F.regexp_replace(s, rf"(?<![^{_WS}])[0-9]++(?:[.,:/-][0-9]++)*+(?![^{_WS}])", SLOTS[0])
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    # Both patterns first look at the next character, as most begin no match.
+    bare = F.regexp_replace(lower, rf"(?![a-z0-9 ])(?={_PUNCTUATION})(?:(?<!{_PUNCTUATION}){_PUNCTUATION}++(?![^{_WS}])|(?<![^{_WS}]){_PUNCTUATION}++)", "")
+    numbered = lambda s: F.regexp_replace(s, rf"(?=[0-9])(?<![^{_WS}])[0-9]++(?:[.,:/-][0-9]++)*+(?![^{_WS}])", SLOTS[0])
     split = lambda s: F.split(F.btrim(s, F.lit(" \t\n\x0b\f\r")), f"[{_WS}]+")
-    typed = lambda w: F.when(w.isin(*NUMBERS), SLOTS[0]).when(w.isin(*NAMES), SLOTS[1]).when(w.isin(*UNITS), SLOTS[2]).otherwise(w)
-    found = docs.select(*keys, bare.alias("bare")).where(rf"bare RLIKE '[\\p{{L}}\\p{{N}}]'")
+    typed = lambda w: F.when(~w.isin(*NUMBERS, *NAMES, *UNITS), w).when(w.isin(*NUMBERS), SLOTS[0]).when(w.isin(*NAMES), SLOTS[1]).otherwise(SLOTS[2])
+    # Not by ``bare``, which has the same letters and digits: the optimiser would make it once more for the filter.
+    found = docs.where(lower.rlike(r"[\p{L}\p{N}]")).select(*keys, bare.alias("bare"))
     return found.select(*keys, split(F.col("bare")).alias("raw"), F.transform(split(numbered(F.col("bare"))), typed).alias("canon"))
 
 
