@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import bigram_hashes, tokens
 from textquarry.operators import similarity as M
+from textquarry.plans.tables import shared_root
 
 WORDS = ["".join(random.Random(1).choices("abcdefghij", k=5)) + str(k) for k in range(4000)]
 
@@ -95,3 +97,18 @@ def test_shared_bigrams_and_groups_of_candidates_equal_brute_force(spark, monkey
     monkeypatch.setattr(M, "GROUPED", 100)
     rows = [r for r in cohorts(5) if r[0] in ("ring", "three")]
     assert found(spark, rows) == brute(rows) != {}
+
+
+def test_pairs_leave_one_table(spark):
+    root = Path(shared_root(spark))
+    before = set(root.glob("*"))
+    assert found(spark, [r for r in cohorts(6) if r[0] in ("ring", "three")])
+    assert [p.name.split("-")[0] for p in set(root.glob("*")) - before] == ["pairs"]
+
+
+def test_hashed_bigrams_of_texts_equal_pairs_of_tokens(spark):
+    texts = ["a b a b", "", "x", "a b ", "ab 漢字x b", "á é è é", "ไทย b", "b  a", "漢 字 x"]
+    rows = spark.createDataFrame([("c", k, x) for k, x in enumerate(texts)], "cohort string, id long, normtext string")
+    want = {r.id: {*zip(r.t, r.t[1:])} for r in rows.select("id", tokens(F.col("normtext")).alias("t")).collect()}
+    got = {r.id: set(r.hs) for r in M.bigram_sets(rows).collect()}
+    assert all(len(got[a] & got[b]) == len(want[a] & want[b]) for a in want for b in want) and len(got) == len(texts)
